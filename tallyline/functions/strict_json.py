@@ -12,21 +12,20 @@ def utf8_text(value: Column, dtype: DataType) -> Column:
     return F.try_validate_utf8(text)
 
 
-def _wrapped(text: Column) -> Column:
-    return F.concat(F.lit('{"v":'), text, F.lit(',"end":1}'))
-
-
 def parsed(text: Column) -> Column:
-    """Variant ``{v: <text>, end: 1}``, null when the text is not one JSON value.
+    """Variant ``{v: <text>, end: <digest of text>}``, null when that is not one JSON object.
 
-    The parser alone would ignore text behind the value; inside the wrapper such
-    text breaks the syntax or adds a key. Duplicate keys count, so two must remain.
+    The parser alone would ignore what follows the first value. In the wrapper, following
+    text breaks the syntax, adds a key (repeats count, so exactly two must remain) or leaves
+    the end mark, which no text can hold of itself, to someone else; see :func:`is_whole`.
     """
-    whole = _wrapped(text)
-    return F.when(
-        F.size(F.json_object_keys(whole)) == 2,
-        F.try_parse_json(whole),
-    )
+    whole = F.concat(F.lit('{"v":'), text, F.lit(',"end":"'), F.md5(text.cast("binary")), F.lit('"}'))
+    return F.when(F.size(F.json_object_keys(whole)) == 2, F.try_parse_json(whole))
+
+
+def is_whole(document: Column, text: Column) -> Column:
+    """True when the wrapper's end mark is the one of this text."""
+    return F.try_variant_get(document, "$.end", "string") == F.md5(text.cast("binary"))
 
 
 def field(document: Column, name: str, dtype: str) -> Column:

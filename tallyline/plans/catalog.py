@@ -23,6 +23,7 @@ from tallyline.plans import delivery_views as dv
 from tallyline.plans import retail_views as rv
 from tallyline.plans import run_views as runs_v
 from tallyline.schemas import CONSUMER_STATUSES, LOCATION, SCOPES
+from tallyline.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -727,3 +728,17 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "first_topic", "first_partition", "first_offset",
         F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("occurred_at"),
     )
+
+
+@query
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log consumed by the ledger stream, then read back as totals."""
+    from tallyline.streaming.ledger_stream import Ledger, consume_available
+
+    folder = scratch_path(spark, "ledger")
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # As a pattern, so that the table may be one file or a folder of files.
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
+    ledger = Ledger(spark, f"{folder}/ledger")
+    consume_available(dv.deliveries(dv.located(stream)), ledger, f"{folder}/checkpoint")
+    return _totals(led.ledger_product_day(ledger.events))

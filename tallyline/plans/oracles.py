@@ -612,6 +612,10 @@ ORACLES: dict[str, str] = {
         FROM log JOIN stops USING (topic, partition) WHERE product_code = 'view'
         GROUP BY topic, partition, kafka_offset, event_id, payload_sha256""",
     ),
+    "stream_ledger": _q(
+        CLEAN_LOG,
+        f"SELECT {_TOTALS.format('q')} FROM disp WHERE disposition = 'accepted' GROUP BY observed_date, product_code",
+    ),
     "stream_verdicts": """
         WITH u AS (SELECT user_id, COUNT(*) AS n, min(event_id) AS lo, user_id % 12 AS shape FROM events GROUP BY user_id),
         p AS (SELECT *, CASE shape WHEN 0 THEN '' ELSE 'c' END AS cluster_id,

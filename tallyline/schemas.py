@@ -50,6 +50,7 @@ SHEET_ROWS = _struct(
     ("source_row_number", _L),
     ("cells", T.ArrayType(_S)),
     ("cell_types", T.ArrayType(_S)),
+    ("error", _S),
 )
 
 MANIFEST = _struct(

@@ -9,23 +9,16 @@ UTC_INSTANT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]
 
 _DATE_LED = r"^\s*[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}(?![0-9])"
 _SLASHED = r"^(\s*[0-9]{4})/([0-9]{1,2})/([0-9]{1,2})"
-_ZONED = r"[0-9]\s*(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)\s*$"
 
 
 def invoice_ts(text: Column) -> Column:
     """Zone-free timestamp of an invoice date text, or null.
 
-    A full date is required (a bare year or month is not one), slashes and dashes
-    are both accepted, and a text with an explicit offset is moved to UTC.
+    A full date is required (a bare year or month is not one); slashes and dashes are both
+    accepted; the wall-clock part is kept as it stands.
     """
     dashed = F.regexp_replace(text, _SLASHED, "$1-$2-$3")
-    timed = dashed.contains(":")
-    local = dashed.try_cast("timestamp_ntz")
-    moved = F.convert_timezone(F.current_timezone(), F.lit("UTC"), dashed.try_cast("timestamp").cast("timestamp_ntz"))
-    return F.when(
-        text.rlike(_DATE_LED),
-        F.when(timed & dashed.rlike(_ZONED), moved).otherwise(local),
-    )
+    return F.when(text.rlike(_DATE_LED), dashed.try_cast("timestamp_ntz"))
 
 
 def is_utc_instant(text: Column) -> Column:

@@ -153,8 +153,12 @@ def unproven_positions(deliveries: DataFrame, attempts: DataFrame, checkpoint: D
     mismatch, not a redelivery.
     """
     keys = [*POSITION, "event_id", "payload_sha256"]
-    behind = deliveries.join(checkpoint.select(*STREAM, "durable_next_offset"), STREAM).filter(
-        "kafka_offset < durable_next_offset"
+    # A stream without a checkpoint has processed nothing: it expects offset zero.
+    expected = F.coalesce("durable_next_offset", F.lit(0)).alias("durable_next_offset")
+    behind = (
+        deliveries.join(checkpoint.select(*STREAM, "durable_next_offset"), STREAM, "left")
+        .select(*keys, expected)
+        .filter("kafka_offset < durable_next_offset")
     )
     processed = attempts.filter(F.col("disposition").isin(*PROCESSED)).select(*keys)
     return behind.join(processed, keys, "left_anti").select(*keys, "durable_next_offset")

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Decimal or exponent notation. The look-ahead refuses texts whose value has a fraction too
-# fine for decimal(38,18): a digit past the 18th place, a fraction under a negative
-# exponent, or a shift by more than 18 places.
+# Decimal or exponent notation, single underscores between digits. The look-ahead refuses
+# texts whose value has a fraction too fine for decimal(38,18): a digit past the 18th place,
+# a fraction under a negative exponent, or a shift by more than 18 places.
 _NOTATION = (
     r"^\s*[+-]?"
-    r"(?![0-9]*\.[0-9]{18}[0-9]*[1-9]|[0-9]*\.[0-9]*[1-9][0-9]*[eE]-|[0-9.]+[eE]-(?:19|[2-9][0-9]|[0-9]{3,}))"
-    r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+    r"(?![0-9_]*\.[0-9_]{18}[0-9_]*[1-9]|[0-9_]*\.[0-9_]*[1-9][0-9_]*[eE]-|[0-9_.]+[eE]-(?:19|[2-9][0-9]|[0-9]{3,}))"
+    r"(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)"
+    r"(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?\s*$"
 )
 
 
 def _from_notation(text: Column) -> Column:
     """BIGINT of a decimal or exponent notation, null when it has a fraction."""
-    plain = F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", "")
-    value = plain.try_cast("decimal(38,18)")
-    return F.when(plain.rlike(_NOTATION) & (value % 1 == 0), value.try_cast("bigint"))
+    value = F.replace(text, F.lit("_"), F.lit("")).try_cast("decimal(38,18)")
+    return F.when(text.rlike(_NOTATION) & (value % 1 == 0), value.try_cast("bigint"))
 
 
 def lossless_bigint(text: Column) -> Column:

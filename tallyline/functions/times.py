@@ -8,7 +8,6 @@ from pyspark.sql import Column, functions as F
 UTC_INSTANT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?Z\z"
 
 _DATE_LED = r"^\s*[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}(?![0-9])"
-_SLASHED = r"^(\s*[0-9]{4})/([0-9]{1,2})/([0-9]{1,2})"
 
 
 def invoice_ts(text: Column) -> Column:
@@ -17,8 +16,7 @@ def invoice_ts(text: Column) -> Column:
     A full date is required (a bare year or month is not one); slashes and dashes are both
     accepted; the wall-clock part is kept as it stands.
     """
-    dashed = F.regexp_replace(text, _SLASHED, "$1-$2-$3")
-    return F.when(text.rlike(_DATE_LED), dashed.try_cast("timestamp_ntz"))
+    return F.when(text.rlike(_DATE_LED), F.translate(text, "/", "-").try_cast("timestamp_ntz"))
 
 
 def is_utc_instant(text: Column) -> Column:

@@ -94,7 +94,7 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contribution_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All contributing rows of one product on one day, as a reader drills down to them."""
     typed, members = _typed(spark, sf_dir), rv.members_all(spark, sf_dir)
-    rows = pday.contributions(typed, members, stock_code="P3", observed_date="1998-06-15")
+    rows = pday.contributions(typed, members, stock_code="P2", observed_date="1995-03-01")
     return rows.orderBy("source_row_number")
 
 

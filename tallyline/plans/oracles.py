@@ -267,7 +267,7 @@ ORACLES: dict[str, str] = {
     ),
     "contributions": _q(RAW, f"SELECT {_LONG} FROM long_all"),
     "contribution_drilldown": _q(
-        RAW, f"SELECT {_LONG} FROM long_all WHERE stock_code = 'P3' AND observed_date = DATE '1998-06-15'"
+        RAW, f"SELECT {_LONG} FROM long_all WHERE stock_code = 'P2' AND observed_date = DATE '1995-03-01'"
     ),
     "nested_contributions": _q(
         RAW,

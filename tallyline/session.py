@@ -12,6 +12,8 @@ JOB_SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Broadcasts are chosen by size in memory; table files are compressed.
+    "spark.sql.sources.fileCompressionFactor": "4",
     # Rewriting one run's partition must leave the other runs alone.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # A repeated key in an event payload keeps its last value.

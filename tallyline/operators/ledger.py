@@ -15,6 +15,8 @@ from tallyline.schemas import PROCESSED
 
 STREAM = ["topic", "partition"]
 POSITION = ["topic", "partition", "kafka_offset"]
+# The same as join keys: the offset leads, because it is what tells rows apart when sorting.
+POSITION_KEYS = ["kafka_offset", "partition", "topic"]
 
 
 def _place() -> list[str]:
@@ -136,7 +138,7 @@ def position_gaps(deliveries: DataFrame, checkpoint: DataFrame) -> DataFrame:
     evenly; a window over a stream partition would put the partition in one task.
     """
     seen = deliveries.select(*STREAM, (F.col("kafka_offset") + 1).alias("kafka_offset"))
-    headless = deliveries.select(*POSITION).join(seen, POSITION, "left_anti").distinct()
+    headless = deliveries.select(*POSITION).join(seen, POSITION_KEYS, "left_anti").distinct()
     bound = checkpoint.select(*STREAM, "durable_next_offset")
     expected = F.coalesce("durable_next_offset", F.lit(0))
     return (
@@ -161,7 +163,8 @@ def unproven_positions(deliveries: DataFrame, attempts: DataFrame, checkpoint: D
         .filter("kafka_offset < durable_next_offset")
     )
     processed = attempts.filter(F.col("disposition").isin(*PROCESSED)).select(*keys)
-    return behind.join(processed, keys, "left_anti").select(*keys, "durable_next_offset")
+    by = [*POSITION_KEYS, "event_id", "payload_sha256"]
+    return behind.join(processed, by, "left_anti").select(*keys, "durable_next_offset")
 
 
 def ledger_totals(attempts: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ def spark():
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="6g",
+        spark__default__parallelism="2",
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,7 +39,10 @@ class Feed:
             json.dumps({"topic": "t", "partition": partition, "offset": start + i, "key": None, "value": v})
             for i, v in enumerate(values)
         ]
-        (self.folder / "in" / f"{self.files:04d}.json").write_text("\n".join(rows))
+        file = self.folder / "in" / f"{self.files:04d}.json"
+        file.write_text("\n".join(rows))
+        # A file stream takes files by modification time; files made within one tick would tie.
+        os.utime(file, (1_700_000_000 + self.files, 1_700_000_000 + self.files))
         self.files += 1
         self.next = max(self.next, start + len(values))
 

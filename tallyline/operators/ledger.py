@@ -8,7 +8,7 @@ joins back have one small row per key on their other side, which a skew join can
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyline.functions.numbers import wide_sum
 from tallyline.schemas import PROCESSED
@@ -19,13 +19,9 @@ POSITION = ["topic", "partition", "kafka_offset"]
 POSITION_KEYS = ["kafka_offset", "partition", "topic"]
 
 
-def _place() -> list[str]:
-    return ["partition", "kafka_offset", "payload_sha256"]
-
-
 def first_registrations(deliveries: DataFrame) -> DataFrame:
     """Per event id, the position and content of its first delivery."""
-    first = F.min(F.struct("topic", *_place()))
+    first = F.min(F.struct(*POSITION, "payload_sha256"))
     return deliveries.groupBy("event_id").agg(first.alias("first")).select("event_id", "first.*")
 
 
@@ -213,8 +209,6 @@ def late_days(events: DataFrame) -> DataFrame:
     A running maximum along a partition, in two steps: inside slices of the offset range,
     and over the slices' own maxima. No task orders more than a slice or the slice list.
     """
-    from pyspark.sql import Window
-
     place = [F.col("first_topic"), F.col("first_partition")]
     slot = F.floor(F.col("first_offset") / SLICE).alias("_slot")
     sliced = events.select("*", slot)

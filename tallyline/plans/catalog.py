@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyline.functions.identity import sha256_id
+from tallyline.functions.identity import rule_id, sha256_id
 from tallyline.functions.times import display_ts
 from tallyline.operators import compare as cmp
 from tallyline.operators import contracts as chk
@@ -18,12 +18,14 @@ from tallyline.operators import product_day as pday
 from tallyline.operators import publish as pub
 from tallyline.operators import scope as scp
 from tallyline.operators.reconcile import reconcile
-from tallyline.operators.typed import typed_lines
+from tallyline.operators.result import result_products as result_lines
+from tallyline.operators.typed import TRANSFORMATION_RULE, typed_lines
 from tallyline.plans import delivery_views as dv
 from tallyline.plans import retail_views as rv
 from tallyline.plans import run_views as runs_v
 from tallyline.schemas import CONSUMER_STATUSES, LOCATION, SCOPES
 from tallyline.session import scratch_path
+from tallyline.streaming.ledger_stream import Ledger, consume_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,9 +165,7 @@ def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def result_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result lines as exported: state, totals, and the pages of contributing rows."""
-    from tallyline.operators.result import result_products as assemble
-
-    lines = assemble(_day(spark, sf_dir), pday.nested_contributions(_long(spark, sf_dir)))
+    lines = result_lines(_day(spark, sf_dir), pday.nested_contributions(_long(spark, sf_dir)))
     return lines.select(
         "data_state",
         "observed_date",
@@ -359,11 +359,7 @@ def nested_location_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _month_scopes(spark: SparkSession, sf_dir: str, kept: bool) -> DataFrame:
     members = rv.members_kept(spark, sf_dir) if kept else rv.members_all(spark, sf_dir)
     ids = scp.scope_ids(members)
-    from tallyline.operators.product_day import AGGREGATION_RULE
-    from tallyline.functions.identity import rule_id
-    from tallyline.operators.typed import TRANSFORMATION_RULE
-
-    recorded = ids.withColumn("aggregation_rule_id", rule_id(AGGREGATION_RULE)).withColumn(
+    recorded = ids.withColumn("aggregation_rule_id", rule_id(pday.AGGREGATION_RULE)).withColumn(
         "transformation_rule_id", rule_id(TRANSFORMATION_RULE)
     )
     return land.align_schema(recorded, SCOPES)
@@ -684,14 +680,13 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo")
     )
     topic = F.concat(F.lit("t-"), F.col("user_id").cast("string")).alias("topic")
-    shape = F.col("user_id") % 12
-    n = F.col("n")
+    shape, n = F.col("user_id") % 12, F.col("n")
     positions = per_user.select(
         F.when(shape == 0, "").otherwise("c").alias("cluster_id"),
         F.when(shape == 1, "g-other").otherwise("g").alias("group_id"),
         topic,
         F.lit(0).alias("partition"),
-        F.when(shape == 2, n + 1).when(shape == 3, -1001).when(shape == 4, n - 2).when(shape == 9, 1)
+        F.when(shape == 2, n + 1).when(shape.isin(3, 8), -1001).when(shape == 4, n - 2).when(shape == 9, 1)
         .otherwise(n - 1).alias("broker_committed"),
         F.when(shape == 5, n + 1).when(shape == 6, -1).when(shape == 10, F.col("lo") + 1).otherwise(0).alias("low"),
         F.when(shape == 7, n - 1).otherwise(n + 1).alias("high"),
@@ -700,16 +695,9 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("c").alias("cluster_id"), F.lit("g").alias("group_id"), topic, F.lit(0).alias("partition"),
         n.alias("durable_next_offset"),
     )
-    positions = positions.withColumn(
-        "broker_committed", F.when(shape_of(F.col("topic")) == 8, -1001).otherwise(F.col("broker_committed"))
-    )
     return pos.stream_verdicts(positions, checkpoint)
 
 
-def shape_of(topic):
-    return F.substring_index(topic, "-", -1).cast("bigint") % 12
-
-
 @query
 def late_day_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that arrived behind a newer day, per day and product they still change."""
@@ -733,8 +721,6 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log consumed by the ledger stream, then read back as totals."""
-    from tallyline.streaming.ledger_stream import Ledger, consume_available
-
     folder = scratch_path(spark, "ledger")
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     # As a pattern, so that the table may be one file or a folder of files.

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm.packing import pack
+from tallyline.llm.simhash import simhash_groups
 from tallyline.llm.token_files import token_index, write_token_files
+from tallyline.llm.vector_dedup import near_vectors
 from tallyline.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +20,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to token files and read back."""
     path = scratch_path(spark, "token-files")
@@ -30,8 +37,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_groups(_documents(spark, sf_dir))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_vector_dedup": op2_vector_dedup,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
 LLM_ORACLES: dict[str, str] = {}

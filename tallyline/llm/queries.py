@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyline.llm.decontamination import contaminated
 from tallyline.llm.packing import pack
 from tallyline.llm.simhash import simhash_groups
 from tallyline.llm.token_files import token_index, write_token_files
@@ -20,6 +21,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item, with the item and the alignment."""
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -43,6 +49,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_vector_dedup": op2_vector_dedup,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,

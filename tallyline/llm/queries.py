@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm.decontamination import contaminated
+from tallyline.llm.language_id import identified
 from tallyline.llm.packing import pack
 from tallyline.llm.simhash import simhash_groups
 from tallyline.llm.token_files import token_index, write_token_files
@@ -43,6 +44,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return identified(_documents(spark, sf_dir))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_groups(_documents(spark, sf_dir))
@@ -53,6 +59,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vector_dedup": op2_vector_dedup,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_language_id": op8_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 LLM_ORACLES: dict[str, str] = {}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyline.llm.decontamination import contaminated
 from tallyline.llm.language_id import identified
 from tallyline.llm.packing import pack
+from tallyline.llm.secrets import secrets_found
 from tallyline.llm.simhash import simhash_groups
 from tallyline.llm.token_files import token_index, write_token_files
 from tallyline.llm.vector_dedup import near_vectors
@@ -32,6 +33,11 @@ def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets_found(_documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to token files and read back."""
     path = scratch_path(spark, "token-files")
@@ -57,6 +63,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_vector_dedup": op2_vector_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,

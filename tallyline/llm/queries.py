@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyline.llm.decontamination import contaminated
 from tallyline.llm.language_id import identified
@@ -13,10 +13,13 @@ from tallyline.llm.packing import pack
 from tallyline.llm.secrets import secrets_found
 from tallyline.llm.simhash import simhash_groups
 from tallyline.llm.token_files import token_index, write_token_files
+from tallyline.llm.surrogates import replaced
 from tallyline.llm.vector_dedup import near_vectors
 from tallyline.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
+# A job over real data passes a secret of its own.
+SURROGATE_KEY = "tallyline-demo-key"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +41,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_found(_documents(spark, sf_dir))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced, and how many mentions were."""
+    found = replaced(_documents(spark, sf_dir), SURROGATE_KEY)
+    return found.select("doc_id", "text", F.size("surrogate_kinds").cast("long").alias("n_replaced"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to token files and read back."""
     path = scratch_path(spark, "token-files")
@@ -64,6 +73,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_vector_dedup": op2_vector_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,

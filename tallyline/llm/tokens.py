@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
+import regex
 
 # Words kept per Python worker before the table starts anew; bounds its memory, changes no result.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 700_000
 END_ID = 2
-# New words encoded in one call.
-LINES = 256
+# The pattern that byte-level BPE cuts texts by, and how its vocabulary shows bytes:
+# printable Latin-1 characters as themselves, the others as the characters from 256 on, in order.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_LINE_AND_BLANK = regex.compile(r"\n\s")
+_AS_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTES_AS_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _AS_SHOWN) if b}
 
 
 class _Words(dict):
@@ -27,12 +34,36 @@ class _Words(dict):
         return number
 
 
+class _Ids:
+    """Id lists by number, kept as one flat array."""
+
+    def __init__(self):
+        self.flat = np.zeros(0, np.int32)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def of(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered lists one after another, and the end of each."""
+        lengths = self.lengths[index]
+        ends = np.cumsum(lengths)
+        shift = self.starts[index] - (ends - lengths)
+        return self.flat[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)], ends
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each different word encoded once.
 
-    The tokenizer's pattern starts a new piece at every blank that follows a non-blank and
-    precedes a non-blank, so a text cut there encodes to the concatenated ids of its parts.
-    Texts with doubled, leading or trailing blanks go through the tokenizer whole.
+    The byte-level pattern starts a new piece at every blank that follows a non-blank and
+    precedes a non-blank, so a text cut there encodes to the concatenated ids of its words; a
+    word is cut into pieces by the same pattern, and the tokenizer's own model encodes each
+    different piece. A line end before a non-blank is a piece of its own. Texts with doubled, leading
+    or trailing blanks, words with other white space or a special token inside, and other kinds
+    of tokenizers go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -40,34 +71,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.line = self._ids("\n")[0]
+        told = json.loads(self.tokenizer.to_str())
+        kind = told["pre_tokenizer"] or {}
+        self.by_words = (
+            kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not told["normalizer"]
+        )
+        self.special = [t["content"] for t in told["added_tokens"]]
         self._reset()
 
     def _reset(self) -> None:
-        self.words = _Words()
-        self.flat = np.zeros(0, np.int32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.words, self.word_ids = _Words(), _Ids()
+        self.pieces, self.piece_ids = _Words(), _Ids()
+
+    def _learn_pieces(self) -> None:
+        new, self.pieces.new = self.pieces.new, []
+        if new:
+            shown = "\x00".join(new).encode().decode("latin-1").translate(BYTES_AS_SHOWN).split("\x00")
+            found = [[token.id for token in self.tokenizer.model.tokenize(piece)] for piece in shown]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.piece_ids.add(np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths)
 
     def _learn(self) -> None:
-        """Encode the new words: those without inner white space together, one per line."""
+        """Ids of the new words: those that are one run of non-blanks by pieces, the rest by the tokenizer."""
         new, self.words.new = self.words.new, []
         if not new:
             return
-        found: list = [None] * len(new)
-        plain = [k for k, word in enumerate(new) if len(parts := word.split()) == 1 and word in (parts[0], " " + parts[0])]
-        for at in range(0, len(plain), LINES):
-            own = plain[at : at + LINES]
-            ids = np.array(self._ids("\n".join([new[k] for k in own])), np.int32)
-            for k, part in zip(own, np.split(ids, np.flatnonzero(ids == self.line))):
-                found[k] = part[part != self.line]
-        for k in range(len(new)):
-            if found[k] is None:
-                found[k] = np.array(self._ids(new[k]), np.int32)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *found])
+        plain = np.array([self.by_words and self._is_plain(word) for word in new])
+        own = [word for word, ok in zip(new, plain) if ok]
+        found = [np.array(self._ids(word), np.int32) for word, ok in zip(new, plain) if not ok]
+        lengths = np.zeros(len(new), np.int64)
+        lengths[~plain] = [len(x) for x in found]
+        by_piece = np.zeros(0, np.int32)
+        if own:
+            cut = _PATTERN.findall("\n".join(own))
+            index = np.fromiter(map(self.pieces.__getitem__, cut), np.int64, len(cut))
+            self._learn_pieces()
+            newline = self.pieces["\n"] if len(own) > 1 else -1
+            word = np.cumsum(index == newline)
+            index, word = index[index != newline], word[index != newline]
+            by_piece, _ = self.piece_ids.of(index)
+            lengths[plain] = np.bincount(word, self.piece_ids.lengths[index], len(own)).astype(np.int64)
+        order = np.repeat(plain, lengths)
+        flat = np.zeros(int(lengths.sum()), np.int32)
+        flat[order] = by_piece
+        flat[~order] = np.concatenate(found) if found else by_piece[:0]
+        self.word_ids.add(flat, lengths)
+
+    def _is_plain(self, word: str) -> bool:
+        parts = word.split()
+        return len(parts) == 1 and word in (parts[0], " " + parts[0]) and "\0" not in word and not any(special in word for special in self.special)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -80,19 +132,18 @@ class Encoder:
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
-                if "  " in text or text[0] == " " or text[-1] == " ":
+                if not self.by_words or "  " in text or text[0] in " \n" or text[-1] == " " or "\0" in text:
                     own = [text]
                 else:
-                    own = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+                    marked = text.replace(" ", "\0 ")
+                    if "\n" in text and text[-1] != "\n" and not _LINE_AND_BLANK.search(text):
+                        marked = marked.replace("\n", "\0\n\0")
+                    own = marked.split("\0")
                 counts[k] = len(own)
                 index.append(np.array(itemgetter(*own)(words) if len(own) > 1 else [words[own[0]]], np.int64))
         self._learn()
-        index = np.concatenate(index) if index else np.zeros(0, np.int64)
-        lengths = self.lengths[index]
-        ends = np.cumsum(lengths)
+        ids, ends = self.word_ids.of(np.concatenate(index) if index else np.zeros(0, np.int64))
         edges = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-        shift = self.starts[index] - (ends - lengths)
-        ids = self.flat[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)]
         if end:
             ids = np.insert(ids, edges[1:], END_ID)
             edges = edges + np.arange(len(edges))

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyline.llm.chat import digests, formatted
+from tallyline.llm.common import written
 from tallyline.llm.decontamination import contaminated
+from tallyline.llm.oracles import LLM_ORACLES
 from tallyline.llm.language_id import identified
 from tallyline.llm.packing import pack
 from tallyline.llm.secrets import secrets_found
@@ -15,11 +18,14 @@ from tallyline.llm.simhash import simhash_groups
 from tallyline.llm.token_files import token_index, write_token_files
 from tallyline.llm.surrogates import replaced
 from tallyline.llm.vector_dedup import near_vectors
+from tallyline.llm.warc import derivatives, responses
 from tallyline.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 # A job over real data passes a secret of its own.
 SURROGATE_KEY = "tallyline-demo-key"
+# The pages have no capture time.
+WARC_DATE = "2024-01-01T00:00:00Z"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +42,14 @@ def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, rendered, written and read back."""
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    rows = table.unionByName(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))
+    return digests(written(formatted(rows), "chats"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     return secrets_found(_documents(spark, sf_dir))
@@ -64,6 +78,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(_documents(spark, sf_dir))
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversion and metadata records of every page."""
+    return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet"), WARC_DATE))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_groups(_documents(spark, sf_dir))
@@ -72,11 +91,13 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_vector_dedup": op2_vector_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_secret_scan": op4_secret_scan,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_token_files": op6_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
-LLM_ORACLES: dict[str, str] = {}
+__all__ = ["LLM_ORACLES", "LLM_QUERIES"]

@@ -28,7 +28,7 @@ BLOCK = 4096
 # Pairs of a fingerprint and a block of 64 others that are compared at once.
 AT_ONCE = 1 << 18
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-_PRINT = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+_PRINT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fingerprint", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -60,12 +60,13 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = np.array([fingerprint(text) for text in raw_texts(batch)], np.uint64)
-        yield table(_PRINT, doc_id=batch.column("doc_id"), fingerprint=found.view(np.int64))
+        yield table(_PRINT, doc_id=batch.column("doc_id"), text_key=batch.column("text_key"), fingerprint=found.view(np.int64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) of every whole text; null texts are empty and have fingerprint 0."""
-    return id_and_text(docs).mapInArrow(_fingerprints, "doc_id long, fingerprint long")
+    """(doc_id, text_key, fingerprint) of every whole text; null texts are empty and have fingerprint 0."""
+    rows = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_key long, fingerprint long")
 
 
 def _keys() -> Column:
@@ -177,6 +178,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links(held_keys, held)
 
 
+def _named(prints: DataFrame) -> DataFrame:
+    """(fingerprint, root, component_id) of every different fingerprint."""
+    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "fingerprint-classes")
+    rows = _buckets(classes.select("fingerprint")).repartition("bucket").sortWithinPartitions("bucket")
+    groups = components(rows.mapInArrow(_compare, "a long, b long"))
+    rooted = classes.join(groups, classes.fingerprint == groups.node, "left").select(
+        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
+    )
+    return rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fingerprint", "root", "component_id")
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document.
 
@@ -187,12 +199,24 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     No documents give no rows. Other columns are ignored.
     """
     prints = written(fingerprints(docs), "fingerprints")
-    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "fingerprint-classes")
-    rows = _buckets(classes.select("fingerprint")).repartition("bucket").sortWithinPartitions("bucket")
-    groups = components(rows.mapInArrow(_compare, "a long, b long"))
-    rooted = classes.join(groups, classes.fingerprint == groups.node, "left").select(
-        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
-    )
-    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(names, "root").select("fingerprint", "component_id")
+    named = _named(prints).drop("root")
     return prints.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, of which one per group stays: the one with the smallest id, then text hash."""
+    prints = written(fingerprints(docs), "fingerprints")
+    rows = prints.join(_named(prints), "fingerprint").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    # A null id comes last.
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n")
+    kept = written(rows.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), "k.text_key", "k.n"), "kept")
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+    def those(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["_kept_id"]) & (key == keys["text_key"]), "left_semi")
+
+    single, repeated = kept.filter("n = 1"), kept.filter("n > 1")
+    if repeated.isEmpty():
+        return those(single)
+    # Rows equal in id and text: any one of them.
+    return those(single).unionByName(those(repeated).withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key"))

@@ -4,6 +4,8 @@ import pytest
 from oracle_compare import connect, difference
 
 import __spark_entry__ as entry
+from tallyline.plans.catalog import QUERIES
+from tallyline.plans.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_its_twin(spark, con, name):
     found = difference(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name])
     assert found is None, found
@@ -24,4 +26,8 @@ def test_entry_gives_rows(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_entry_registers_the_catalog():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

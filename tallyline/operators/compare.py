@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyline.functions.numbers import checked_sum
 from tallyline.operators.product_day import PAGE_ROWS
 
 GROUP = ["observed_date", "stock_code"]
@@ -53,16 +54,18 @@ def _state(metric: str) -> Column:
 
 
 def compare_groups(base_day: DataFrame, current_day: DataFrame, diff: DataFrame) -> DataFrame:
-    """Both sides' values per group; a side without the group is ``not_present``, not zero."""
+    """Both sides' values per group; a side without the group is ``not_present``, not zero.
 
-    def side(day: DataFrame, name: str) -> DataFrame:
-        return day.select(
-            *GROUP,
-            F.col("sample_quantity_sum").alias(f"{name}_sample_quantity_sum"),
-            F.col("observed_row_count").alias(f"{name}_observed_row_count"),
+    A side's files are summed first, so a group is one row however many files feed it.
+    """
+    sides = {
+        name: day.groupBy(*GROUP).agg(
+            checked_sum(F.col("sample_quantity_sum")).alias(f"{name}_sample_quantity_sum"),
+            F.sum("observed_row_count").alias(f"{name}_observed_row_count"),
         )
-
-    both = side(base_day, "base").join(side(current_day, "current"), GROUP, "full_outer")
+        for name, day in (("base", base_day), ("current", current_day))
+    }
+    both = sides["base"].join(sides["current"], GROUP, "full_outer")
     sums = F.col("base_sample_quantity_sum").eqNullSafe(F.col("current_sample_quantity_sum"))
     counts = F.col("base_observed_row_count").eqNullSafe(F.col("current_observed_row_count"))
     added = F.coalesce("added_row_count", F.lit(0))

@@ -8,9 +8,6 @@ from pyspark.sql.types import StructType
 from tallyline.errors import ContractViolation
 from tallyline.schemas import LOCATION, SHEET_HEADER
 
-MESSAGE_ROWS = 20
-
-
 def selection_violations(selection: DataFrame) -> DataFrame:
     """Selected row numbers below the first data row, missing, or given twice for one run."""
     keys = ["run_id", "source_file_id", "sheet_name", "source_row_number"]
@@ -23,11 +20,6 @@ def selection_violations(selection: DataFrame) -> DataFrame:
     return counted.withColumn("reason", reason).filter("reason IS NOT NULL").select(*keys, "times", "reason")
 
 
-def empty_selections(runs: DataFrame, selection: DataFrame) -> DataFrame:
-    """Runs that select nothing."""
-    return runs.select("run_id").join(selection.select("run_id"), "run_id", "left_anti")
-
-
 def header_violations(sheet_rows: DataFrame) -> DataFrame:
     """Sheets whose first row is not exactly the eight expected names, in order."""
     expected = F.array(*[F.lit(name) for name in SHEET_HEADER])
@@ -38,10 +30,16 @@ def header_violations(sheet_rows: DataFrame) -> DataFrame:
 
 
 def fingerprint_violations(files: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Files whose bytes are not the ones their manifest promised."""
+    """Files whose bytes are not the ones their manifest promised.
+
+    A file without a manifest, a manifest without a file, and a missing fingerprint on either
+    side are violations too.
+    """
+    differs = ~F.coalesce(F.col("sha256") == F.col("expected_sha256"), F.lit(False))
     return (
-        files.join(manifests, "original_file_name")
-        .filter(~F.col("sha256").eqNullSafe(F.col("expected_sha256")))
+        files.select("original_file_name", "sha256")
+        .join(manifests.select("original_file_name", "expected_sha256"), "original_file_name", "full_outer")
+        .filter(differs)
         .select("original_file_name", "expected_sha256", F.col("sha256").alias("actual_sha256"))
     )
 
@@ -125,12 +123,16 @@ def assert_no_columns(df: DataFrame, fragments: list[str]) -> DataFrame:
     return df
 
 
-def require_empty(violations: DataFrame, message: str) -> None:
-    """Fail with the number of violations and the first few of them."""
-    head = violations.limit(MESSAGE_ROWS + 1).collect()
-    if head:
-        shown = "; ".join(
-            ", ".join(f"{k}={v}" for k, v in row.asDict().items() if v is not None) for row in head[:MESSAGE_ROWS]
-        )
-        more = " and more" if len(head) > MESSAGE_ROWS else ""
-        raise ContractViolation(f"{message}: {shown}{more}")
+def require_empty(violations: DataFrame, message: str, folder: str | None = None) -> None:
+    """Fail when there is a violation; with ``folder``, every one of them is kept there first, as JSON lines.
+
+    The error names the number of violations, the smallest one and the folder.
+    """
+    if violations.isEmpty():
+        return
+    if folder is not None:
+        violations.write.mode("overwrite").json(folder)
+        violations = violations.sparkSession.read.schema(violations.schema).json(folder)
+    told = violations.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("*")).alias("first")).first()
+    shown = ", ".join(f"{k}={v}" for k, v in told["first"].asDict().items() if v is not None)
+    raise ContractViolation(f"{message}: {told['n']} violations, first: {shown}" + (f"; all in {folder}" if folder else ""))

@@ -21,12 +21,15 @@ _WIDE_INTEGER = r"^DECIMAL\((?:19|[2-9][0-9]),0\)$"
 def decode_events(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Add the decoded fields, canonical content and a ``reason``; null reason is valid.
 
+    A repeated key keeps its last value in every session: the setting that says so is made here.
+
     A payload is one JSON object in UTF-8 with exactly the four event fields. Invalid
     payloads keep their row so that a gate can list them. Producers write canonical text:
     cut at its quotes and put together again it is the same text, which proves shape and
     types at once. Every other text goes through the strict parse. Every column stays in
     the JVM.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = sj.utf8_text(F.col(value_col), df.schema[value_col].dataType)
     _text, _doc, plain = F.col("_text"), F.col("_doc"), F.col("_plain")
     # One-element inlines: a later filter can not be pushed below them, which would repeat

@@ -36,6 +36,17 @@ def land_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return _first_per_key(fresh.select(*incoming.columns), LOCATION, ["loaded_at"])
 
 
+def changed_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Locations that landed with another content than they have now; load times and kinds do not count."""
+    content = [c for c in incoming.columns if c not in (*LOCATION, "loaded_at", "invoice_no_source_kind")]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*LOCATION, F.struct(*content).alias(name))
+
+    both = side(incoming, "_now").join(side(existing, "_then"), LOCATION)
+    return both.filter(F.col("_now") != F.col("_then")).select(*LOCATION).distinct()
+
+
 def register_files(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Files of ``incoming`` not registered yet, one row per file id."""
     fresh = incoming.join(existing.select("source_file_id"), "source_file_id", "left_anti")

@@ -15,6 +15,8 @@ from tallyline.schemas import PROCESSED
 
 STREAM = ["topic", "partition"]
 POSITION = ["topic", "partition", "kafka_offset"]
+# Stream partitions a consumer may have; what is known per partition is sent to all tasks.
+MAX_STREAMS = 100_000
 # The same as join keys: the offset leads, because it is what tells rows apart when sorting.
 POSITION_KEYS = ["kafka_offset", "partition", "topic"]
 
@@ -25,13 +27,23 @@ def first_registrations(deliveries: DataFrame) -> DataFrame:
     return deliveries.groupBy("event_id").agg(first.alias("first")).select("event_id", "first.*")
 
 
-def classify(deliveries: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def _numbered_copies(deliveries: DataFrame) -> DataFrame:
+    """Deliveries with ``_copy``, 0 for one of the rows that are equal in everything, counted upwards for the others."""
+    counted = deliveries.groupBy(*deliveries.columns).agg(F.count(F.lit(1)).alias("_times"))
+    return counted.select(*deliveries.columns, F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))).alias("_copy"))
+
+
+def classify(deliveries: DataFrame, ledger: DataFrame | None = None, unique_positions: bool = False) -> DataFrame:
     """Disposition of every delivery against the ledger and the deliveries before it.
 
     ``accepted``: the id is new. ``redelivery``: same id, same content. ``conflict``: same id,
     other content. The content to compare with is always the first accepted one.
-    ``reason`` is set when an id turns up in another stream partition than its first.
+    ``reason`` is set when an id turns up in another stream partition than its first. A
+    position that the input holds several times is accepted once. Callers whose positions can
+    not repeat, or who refuse repeats themselves, say so and save a shuffle.
     """
+    if not unique_positions:
+        deliveries = _numbered_copies(deliveries)
     first = first_registrations(deliveries).select(
         "event_id",
         F.col("topic").alias("_t"),
@@ -60,6 +72,8 @@ def classify(deliveries: DataFrame, ledger: DataFrame | None = None) -> DataFram
     same_stream = (F.col("topic") == F.col("_t")) & (F.col("partition") == F.col("_p"))
     same_content = F.col("payload_sha256") == F.col("existing_payload_sha256")
     is_first = same_stream & F.coalesce(F.col("kafka_offset") == F.col("_o"), F.lit(False)) & same_content
+    if not unique_positions:
+        is_first = is_first & (F.col("_copy") == 0)
     return (
         deliveries.join(first, "event_id")
         .withColumn(
@@ -67,7 +81,7 @@ def classify(deliveries: DataFrame, ledger: DataFrame | None = None) -> DataFram
             F.when(is_first, "accepted").when(same_content, "redelivery").otherwise("conflict"),
         )
         .withColumn("reason", F.when(~same_stream, "event_id_spans_partitions"))
-        .drop("_t", "_p", "_o")
+        .drop("_t", "_p", "_o", "_copy")
     )
 
 
@@ -84,9 +98,21 @@ def stop_points(classified: DataFrame) -> DataFrame:
     )
 
 
+def per_stream(rows: DataFrame) -> DataFrame:
+    """One small row per stream partition, sent to every task so that the log is not moved by its few partitions.
+
+    Their number is the topics', not the data's; a table of more than MAX_STREAMS rows fails the job.
+    """
+    gathered = rows.agg(F.collect_list(F.struct("*")).alias("all"))
+    checked = F.when(F.size("all") <= MAX_STREAMS, F.col("all")).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_STREAMS} stream partitions"))
+    )
+    return F.broadcast(gathered.select(F.inline(checked)))
+
+
 def cut_at_stops(classified: DataFrame, stops: DataFrame) -> DataFrame:
     """Deliveries up to and including each partition's stop point."""
-    limit = stops.select(*STREAM, "stop_offset")
+    limit = per_stream(stops.select(*STREAM, "stop_offset"))
     kept = classified.join(limit, STREAM)
     return kept.filter("stop_offset IS NULL OR kafka_offset <= stop_offset").drop("stop_offset")
 
@@ -154,7 +180,7 @@ def unproven_positions(deliveries: DataFrame, attempts: DataFrame, checkpoint: D
     # A stream without a checkpoint has processed nothing: it expects offset zero.
     expected = F.coalesce("durable_next_offset", F.lit(0)).alias("durable_next_offset")
     behind = (
-        deliveries.join(checkpoint.select(*STREAM, "durable_next_offset"), STREAM, "left")
+        deliveries.join(per_stream(checkpoint.select(*STREAM, "durable_next_offset")), STREAM, "left")
         .select(*keys, expected)
         .filter("kafka_offset < durable_next_offset")
     )
@@ -172,13 +198,11 @@ def ledger_totals(attempts: DataFrame) -> DataFrame:
     )
 
 
-def ledger_is_empty(*ledgers: DataFrame) -> DataFrame:
-    """One row: total rows over the ledgers and whether that is none."""
-    counts = [ledger.agg(F.count(F.lit(1)).alias("n")) for ledger in ledgers]
-    stacked = counts[0]
-    for count in counts[1:]:
-        stacked = stacked.unionByName(count)
-    total = stacked.agg(F.sum("n").alias("materialized_rows"))
+def ledger_is_empty(attempts: DataFrame) -> DataFrame:
+    """One row: rows of the ledger (attempts, and the events and conflicts among them) and whether that is none."""
+    total = ledger_totals(attempts).select(
+        (F.col("attempt_count") + F.col("event_count") + F.col("conflict_count")).alias("materialized_rows")
+    )
     return total.withColumn("is_empty", F.col("materialized_rows") == 0)
 
 
@@ -206,15 +230,26 @@ SLICE = 65_536
 def late_days(events: DataFrame) -> DataFrame:
     """Events whose day is earlier than the newest day seen at a lower offset.
 
-    A running maximum along a partition, in two steps: inside slices of the offset range,
-    and over the slices' own maxima. No task orders more than a slice or the slice list.
+    A running maximum along a partition, in three steps: inside slices of the offset range,
+    over the slices of a block of as many slices, and over the blocks. No task orders more than
+    a slice, a block's slices, or the blocks, of which 2^32 offsets have one.
     """
     place = [F.col("first_topic"), F.col("first_partition")]
     slot = F.floor(F.col("first_offset") / SLICE).alias("_slot")
     sliced = events.select("*", slot)
     newest = sliced.groupBy(*place, "_slot").agg(F.max("observed_date").alias("_slice_day"))
-    along = Window.partitionBy(*place).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = newest.select(*place, "_slot", F.max("_slice_day").over(along).alias("_before"))
+    newest = newest.withColumn("_block", F.floor(F.col("_slot") / SLICE))
+    blocks = newest.groupBy(*place, "_block").agg(F.max("_slice_day").alias("_block_day"))
+
+    def earlier(of: str, *within: str) -> Window:
+        return Window.partitionBy(*place, *within).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+
+    passed = blocks.select(*place, "_block", F.max("_block_day").over(earlier("_block")).alias("_blocks_before"))
+    before = (
+        newest.withColumn("_slices_before", F.max("_slice_day").over(earlier("_slot", "_block")))
+        .join(passed, ["first_topic", "first_partition", "_block"])
+        .select(*place, "_slot", F.greatest("_slices_before", "_blocks_before").alias("_before"))
+    )
     inside = (
         Window.partitionBy(*place, "_slot").orderBy("first_offset").rowsBetween(Window.unboundedPreceding, -1)
     )

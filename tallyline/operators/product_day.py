@@ -44,6 +44,14 @@ def product_day(typed: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def days_of(contribution_rows: DataFrame) -> DataFrame:
+    """Product days summed from contributing rows, where those are there already."""
+    return contribution_rows.groupBy("run_id", "source_file_id", "observed_date", "stock_code").agg(
+        checked_sum(F.col("quantity")).alias("sample_quantity_sum"),
+        F.count(F.lit(1)).alias("observed_row_count"),
+    )
+
+
 def contributions(
     typed: DataFrame,
     members: DataFrame,
@@ -103,11 +111,15 @@ def nested_contributions(contribution_rows: DataFrame, page_rows: int = PAGE_ROW
 def independent_product_day(raw: DataFrame, members: DataFrame) -> DataFrame:
     """The same totals straight from raw text, sharing no code with the typed view.
 
-    Sums are taken per location first and the day is cut from the date text, so an
-    error in typing, joining or grouping shows up as a difference.
+    Quantities are added as decimals and the day is cut from the date text, so an error in
+    typing or grouping shows up as a difference. A text with more than 18 decimal places, or a total
+    with a fraction, gives a null total, never a rounded one.
     """
     wanted = raw.join(members.select("run_id", *LOCATION), LOCATION)
-    amount = F.regexp_replace(F.trim("quantity_raw"), "_", "").cast("decimal(38,9)")
+    plain = F.regexp_replace(F.trim("quantity_raw"), "_", "")
+    fits = ~plain.rlike(r"\.[0-9]{18}[0-9]*[1-9]|[eE]-")
+    amount = F.when(fits, plain.try_cast("decimal(38,18)"))
+    total = F.when(F.count(amount) == F.count(F.lit(1)), F.sum(amount.cast("decimal(38,18)")))
     day = F.make_date(
         F.regexp_extract("invoice_date_raw", r"(\d{4})\D(\d{1,2})\D(\d{1,2})", 1).cast("int"),
         F.regexp_extract("invoice_date_raw", r"(\d{4})\D(\d{1,2})\D(\d{1,2})", 2).cast("int"),
@@ -116,7 +128,7 @@ def independent_product_day(raw: DataFrame, members: DataFrame) -> DataFrame:
     return wanted.groupBy(
         "run_id", "source_file_id", day.alias("observed_date"), F.col("stock_code_raw").alias("stock_code")
     ).agg(
-        F.sum(amount).cast("bigint").alias("sample_quantity_sum"),
+        F.when(total % 1 == 0, total.cast("bigint")).alias("sample_quantity_sum"),
         F.count("source_row_number").alias("observed_row_count"),
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyline.errors import ContractViolation, ResultNotFound, ResultReadError
 from tallyline.functions.identity import rule_id
@@ -57,6 +57,12 @@ class Store:
         rows = self.table("raw_rows", RAW_ROWS)
         return land.backfill_kind(rows, self.table("kind_backfill", RAW_ROWS))
 
+    def landed_of(self, members: DataFrame) -> DataFrame:
+        """Landed rows of the files that ``members`` name; other files' partitions are pruned when it runs."""
+        return self.landed.join(members.select("source_file_id").distinct(), "source_file_id", "left_semi").select(
+            *RAW_ROWS.fieldNames()
+        )
+
     @property
     def days(self) -> DataFrame:
         return self.table("product_days", PRODUCT_DAY)
@@ -91,33 +97,42 @@ def run_batch(
 ) -> str:
     """Compute and publish the selected rows of ``rows``; returns the run id.
 
-    ``rows`` are raw rows with locations, ``selection`` the chosen locations. ``files`` with
-    ``manifests`` adds the fingerprint gate, ``sheet_rows`` the header gate.
+    ``rows`` are raw rows with locations, ``selection`` the chosen locations. ``files`` and
+    ``manifests``, which go together, add the fingerprint gate, ``sheet_rows`` the header gate. A known run id is refused. Every row
+    that stops a run is kept under ``violations`` in the store.
     """
+    if (files is None) != (manifests is None):
+        raise ContractViolation("files and manifests are checked against each other: give both or neither")
     one_file = selection.select("source_file_id").limit(1).first()
+    if not store.run_events.filter(F.col("run_id") == run_id).isEmpty():
+        raise ContractViolation(f"run id {run_id} is taken; a retry needs one of its own")
     started = _now()
     store.log(run_id, "running", started, source_file_id=one_file and one_file[0], input_path=input_path)
     try:
         _compute(store, run_id, rows, selection, files, manifests, sheet_rows)
     except Exception as exc:
         message = str(exc) if isinstance(exc, ContractViolation) else f"{type(exc).__name__}: {exc}"
-        store.log(run_id, "failed", max(_now(), started), error_message=message[:4000])
+        store.log(run_id, "failed", max(_now(), started), error_message=message)
         raise
     store.log(run_id, "succeeded", max(_now(), started))
     return run_id
 
 
 def _compute(store, run_id, rows, selection, files, manifests, sheet_rows) -> None:
-    spark, root = store.spark, store.root
-    if files is not None and manifests is not None:
-        chk.require_empty(chk.fingerprint_violations(files, manifests), "file fingerprint mismatch")
+    root = store.root
+
+    def gate(name: str, violations: DataFrame, message: str) -> None:
+        chk.require_empty(violations, message, f"{root}/violations/run_id={run_id}/gate={name}")
+
+    if files is not None:
+        gate("fingerprint", chk.fingerprint_violations(files, manifests), "file fingerprint mismatch")
     members = land.select_rows(selection, None, run_id)
     if members.isEmpty():
         raise ContractViolation("nothing is selected")
-    chk.require_empty(chk.selection_violations(members), "selected rows are invalid")
+    gate("selection", chk.selection_violations(members), "selected rows are invalid")
     if sheet_rows is not None:
-        chk.require_empty(sheet_rows.filter("error IS NOT NULL").select("source_path", "error"), "workbook not readable")
-        chk.require_empty(chk.header_violations(sheet_rows), "unexpected header")
+        gate("workbook", sheet_rows.filter("error IS NOT NULL").select("source_path", "error"), "workbook not readable")
+        gate("header", chk.header_violations(sheet_rows), "unexpected header")
 
     # A scope is recorded even when the rows then fail a later gate.
     scopes = (
@@ -128,26 +143,28 @@ def _compute(store, run_id, rows, selection, files, manifests, sheet_rows) -> No
     append(land.align_schema(scopes, SCOPES), f"{root}/scopes")
 
     wanted = land.restrict_rows(rows, members)
-    chk.require_empty(land.missing_rows(wanted, members), "selected rows were not found")
-    chk.require_empty(
-        chk.typed_violations(typed_lines(wanted), members).orderBy("source_row_number"),
-        "rows can not be published",
-    )
-
-    landed = store.table("raw_rows", RAW_ROWS)
+    gate("missing", land.missing_rows(wanted, members), "selected rows were not found")
+    gate("typed", chk.typed_violations(typed_lines(wanted), members), "rows can not be published")
+    # What has landed stays; a row that reads differently now is another source under the same name.
+    landed = store.landed_of(members)
+    gate("changed", land.changed_rows(landed, land.align_schema(wanted, RAW_ROWS)), "landed rows read differently now")
     if files is not None:
         append(land.align_schema(land.register_files(store.files, land.align_schema(files, SOURCE_FILES)), SOURCE_FILES),
                f"{root}/source_files")
     append(land.land_rows(landed, land.align_schema(wanted, RAW_ROWS)), f"{root}/raw_rows", "source_file_id")
     unrecorded = landed.filter("invoice_no_source_kind IS NULL")
     append(land.restrict_rows(land.align_schema(wanted, RAW_ROWS), unrecorded), f"{root}/kind_backfill", "source_file_id")
-    append(members, f"{root}/members", "run_id")
+    replace_partitions(members, f"{root}/members", "run_id")
 
-    # From here on the run reads what was landed: its own members against the landed rows.
+    # From here on the run reads what was landed: its own members against the landed rows of their files.
     own = store.members.filter(F.col("run_id") == run_id)
-    typed = typed_lines(store.landed)
-    replace_partitions(land.align_schema(pday.product_day(typed, own), PRODUCT_DAY), f"{root}/product_days", "run_id")
+    expected = selection.groupBy(F.lit(run_id).alias("run_id")).agg(F.count(F.lit(1)).alias("expected_count"))
+    gate("count", chk.count_mismatch(own, expected), "membership does not hold the selected rows")
+    typed = typed_lines(store.landed_of(own))
+    gate("landed", chk.typed_violations(typed, own), "landed rows can not be published")
     replace_partitions(pday.contributions(typed, own), f"{root}/contributions", "run_id")
+    long = store.contributions().filter(F.col("run_id") == run_id)
+    replace_partitions(land.align_schema(pday.days_of(long), PRODUCT_DAY), f"{root}/product_days", "run_id")
 
 
 def current_days(store: Store) -> DataFrame:
@@ -155,9 +172,9 @@ def current_days(store: Store) -> DataFrame:
     runs, log = pub.run_state(store.run_events), pub.publications(store.run_events)
     found = pub.current_publication(log, runs).limit(2).collect()
     if not found:
-        raise ResultNotFound("no successful result has been published")
+        raise ResultNotFound("nothing is published yet")
     if len(found) > 1:
-        raise ResultReadError("more than one current result is registered")
+        raise ResultReadError("two publications claim to be the newest")
     return store.days.filter(F.col("run_id") == found[0]["run_id"])
 
 
@@ -166,7 +183,7 @@ def published_days(store: Store, run_id: str) -> DataFrame:
     runs, log = pub.run_state(store.run_events), pub.publications(store.run_events)
     found = pub.result_by_id(store.days, log, runs, run_id)
     if found.isEmpty():
-        raise ResultNotFound(f"successful published result not found: {run_id}")
+        raise ResultNotFound(f"run {run_id} has no published result")
     return found
 
 
@@ -178,28 +195,26 @@ def export_result(store: Store, run_id: str, manifests: DataFrame, path: str) ->
     header = result_header(
         store.scopes.filter(F.col("run_id") == run_id), pub.run_state(store.run_events), manifests, scope_ids(members)
     )
-    header.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{path}/header")
     products = result_products(day, pday.nested_contributions(long))
-    products.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(
-        f"{path}/products"
-    )
+    # The header is what readers look for, so it goes last: a header always has its lines.
+    for part, rows in (("products", products), ("header", header)):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{path}/{part}")
 
 
 def recover(store: Store, dead: DataFrame) -> list[str]:
     """Close dead unfinished runs as failed; refuse when one has published evidence."""
     runs, log = pub.run_state(store.run_events), pub.publications(store.run_events)
     evidence = pub.recovery_candidates(runs, log, dead).filter("verdict = 'manual_review'")
-    chk.require_empty(evidence.select("run_id"), "unfinished runs with published evidence need manual review")
-    reason = "writer ended before publication completed"
+    chk.require_empty(evidence.select("run_id"), "runs that never ended but were published: a person has to look")
+    reason = "closed from outside: its writer is gone"
     artifacts = store.days.select("run_id").distinct().withColumn(
         "artifact_path", F.concat(F.lit(f"{store.root}/product_days/run_id="), "run_id")
     )
-    # One row per dead run, each appended behind the newest event.
-    closed = pub.recover_runs(runs, log, dead, F.lit(_now()), reason, artifacts).orderBy("run_id").collect()
-    for row in closed:
-        store.log(
-            row["run_id"], row["status"], row["at"].replace(tzinfo=dt.timezone.utc), error_message=reason,
-            recovered_at=row["recovered_at"], recovery_reason=reason,
-            recovered_artifact_path=row["recovered_artifact_path"],
-        )
-    return [row["run_id"] for row in closed]
+    # One append behind the newest event. The dead runs are the caller's list, so their number is no corpus's.
+    newest = store.run_events.agg(F.coalesce(F.max("event_seq"), F.lit(0))).first()[0]
+    closed = pub.recover_runs(runs, log, dead, F.lit(_now()), reason, artifacts)
+    numbered = closed.withColumn("event_seq", F.lit(newest) + F.row_number().over(Window.orderBy("run_id")))
+    rows = [tuple(row) for row in land.align_schema(numbered, RUN_EVENTS).orderBy("event_seq").collect()]
+    if rows:
+        append_rows(store.spark, rows, RUN_EVENTS, f"{store.root}/run_events")
+    return [row[RUN_EVENTS.fieldNames().index("run_id")] for row in rows]

@@ -145,7 +145,8 @@ def reconcile_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pday.quality_summary(_day(spark, sf_dir), _long(spark, sf_dir))
+    long = _long(spark, sf_dir)
+    return pday.quality_summary(pday.days_of(long), long)
 
 
 @query
@@ -165,7 +166,8 @@ def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def result_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result lines as exported: state, totals, and the pages of contributing rows."""
-    lines = result_lines(_day(spark, sf_dir), pday.nested_contributions(_long(spark, sf_dir)))
+    long = _long(spark, sf_dir)
+    lines = result_lines(pday.days_of(long), pday.nested_contributions(long))
     return lines.select(
         "data_state",
         "observed_date",
@@ -297,6 +299,18 @@ def file_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chk.fingerprint_violations(files, manifests)
 
 
+@query
+def file_fingerprints_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which a third have no manifest, a third no file, and a third an altered one."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    name = F.col("page_id").cast("string").alias("original_file_name")
+    turn = F.col("page_id") % 3
+    files = pages.filter(turn != 1).select(name, F.sha2("html", 256).alias("sha256"))
+    promised = F.when(turn == 2, F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    manifests = pages.filter(turn != 0).select(name, F.sha2(promised, 256).alias("expected_sha256"))
+    return chk.fingerprint_violations(files, manifests)
+
+
 @query
 def missing_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows selected by the full run that a source without returned lines does not hold."""
@@ -340,8 +354,8 @@ def row_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def compare_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diff = cmp.location_diff(_long(spark, sf_dir), _long_kept(spark, sf_dir))
-    return cmp.compare_groups(_day(spark, sf_dir), _day_kept(spark, sf_dir), diff)
+    base, current = _long(spark, sf_dir), _long_kept(spark, sf_dir)
+    return cmp.compare_groups(pday.days_of(base), pday.days_of(current), cmp.location_diff(base, current))
 
 
 @query
@@ -414,11 +428,12 @@ def current_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def result_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scope rows of one published run, with its current flag."""
+    """Results of the two runs proposed for comparison, each asked for by id, with its current flag."""
     runs, log = _runs(spark, sf_dir), runs_v.publication_log(spark, sf_dir)
-    wanted = pub.current_publication(log, runs).select("run_id")
-    scopes = runs_v.written_results(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("result_rows"))
-    return pub.current_result(scopes, log, runs).join(wanted, "run_id")
+    written = runs_v.written_results(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("result_rows"))
+    pair = default_pair(spark, sf_dir).first()
+    base, current = (pub.result_by_id(written, log, runs, run_id) for run_id in pair)
+    return base.unionByName(current)
 
 
 @query
@@ -600,19 +615,29 @@ def wide_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = led.classify(dv.decoded_deliveries(spark, sf_dir, with_conflicts=True))
+    found = led.classify(dv.decoded_deliveries(spark, sf_dir, with_conflicts=True), unique_positions=True)
     return found.select(
         "topic", "partition", "kafka_offset", "event_id", "payload_sha256", "existing_payload_sha256", "disposition"
     )
 
 
+@query
+def dispositions_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log delivered twice over: each id is still accepted once."""
+    log = dv.decoded_deliveries(spark, sf_dir, with_conflicts=True)
+    found = led.classify(log.unionByName(log))
+    return found.groupBy("partition", "disposition").agg(
+        F.count(F.lit(1)).alias("deliveries"), F.countDistinct("event_id").alias("events")
+    )
+
+
 @query
 def dispositions_after_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log met again by a ledger that already holds its first occurrences up to mid January."""
     log = dv.decoded_deliveries(spark, sf_dir, with_conflicts=True)
-    ledger = led.accepted_events(led.classify(log)).filter("observed_date < '2024-01-15'")
+    ledger = led.accepted_events(led.classify(log, unique_positions=True)).filter("observed_date < '2024-01-15'")
     known = ledger.withColumnsRenamed({"first_topic": "topic", "first_partition": "partition"})
-    found = led.classify(log, known)
+    found = led.classify(log, known, unique_positions=True)
     return found.groupBy("partition", "disposition").agg(
         F.count(F.lit(1)).alias("deliveries"), F.min("kafka_offset").alias("first_offset")
     )
@@ -620,11 +645,11 @@ def dispositions_after_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conflict_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return led.stop_points(led.classify(dv.decoded_deliveries(spark, sf_dir, with_conflicts=True)))
+    return led.stop_points(led.classify(dv.decoded_deliveries(spark, sf_dir, with_conflicts=True), unique_positions=True))
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = led.classify(dv.decoded_deliveries(spark, sf_dir, with_conflicts=True))
+    found = led.classify(dv.decoded_deliveries(spark, sf_dir, with_conflicts=True), unique_positions=True)
     return led.cut_at_stops(found, led.stop_points(found))
 
 
@@ -652,8 +677,7 @@ def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ledger_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempts = _attempts(spark, sf_dir)
-    return led.ledger_is_empty(led.accepted_events(attempts), attempts, led.conflicts(attempts))
+    return led.ledger_is_empty(_attempts(spark, sf_dir))
 
 
 @query
@@ -668,7 +692,7 @@ def position_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prior_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A replay of the whole log against the attempts kept without view events."""
     log = dv.decoded_deliveries(spark, sf_dir)
-    attempts = led.classify(log).filter("product_code <> 'view'")
+    attempts = led.classify(log, unique_positions=True).filter("product_code <> 'view'")
     checkpoint = log.groupBy("topic", "partition").agg((F.max("kafka_offset") + 1).alias("durable_next_offset"))
     return led.unproven_positions(log, attempts, checkpoint)
 
@@ -701,7 +725,7 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def late_day_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that arrived behind a newer day, per day and product they still change."""
-    ledger = led.accepted_events(led.classify(dv.decoded_deliveries(spark, sf_dir)))
+    ledger = led.accepted_events(led.classify(dv.decoded_deliveries(spark, sf_dir), unique_positions=True))
     late = led.late_days(ledger)
     return late.groupBy("observed_date", "product_code").agg(
         F.count(F.lit(1)).alias("late_events"), F.sum("quantity").alias("late_quantity")
@@ -711,7 +735,7 @@ def late_day_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each event arrived first next to when it occurred; both orders are kept."""
-    ledger = led.accepted_events(led.classify(dv.decoded_deliveries(spark, sf_dir)))
+    ledger = led.accepted_events(led.classify(dv.decoded_deliveries(spark, sf_dir), unique_positions=True))
     return ledger.select(
         "event_id", "first_topic", "first_partition", "first_offset",
         F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("occurred_at"),

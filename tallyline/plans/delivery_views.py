@@ -1,7 +1,8 @@
 """The events table read as an at-least-once delivery log.
 
-Events are dealt to four stream partitions in file order; in each, every tenth event is
-delivered a second time right after the first. Offsets follow from the place in the file,
+The table numbers its events from 0 without gaps; that number is an event's place, however
+many files the table has. Events are dealt to four stream partitions by place; in each, every
+tenth event is delivered a second time right after the first. Offsets follow from the place,
 so they are contiguous without any ordering pass.
 """
 
@@ -21,8 +22,8 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def located(events: DataFrame) -> DataFrame:
-    """Events with their zero-based place in the file; works on streams as well."""
-    return events.select("*", F.col("_metadata.row_index").alias("place"))
+    """Events with their zero-based place in the log; works on streams as well."""
+    return events.select("*", F.col("event_id").cast("bigint").alias("place"))
 
 
 def _occurred_at() -> Column:

@@ -53,6 +53,7 @@ SHEET_ROWS = _struct(
     ("error", _S),
 )
 
+# The keys of a manifest.
 MANIFEST = _struct(
     ("dataset", _S),
     ("source_url", _S),
@@ -107,9 +108,7 @@ RUN_EVENTS = _struct(
 
 PUBLICATIONS = _struct(("run_id", _S), ("publish_seq", _L), ("published_at", _TS))
 
-RUN_STATUSES = ["running", "succeeded", "failed"]
 CONSUMER_STATUSES = ["running", "succeeded", "failed", "interrupted"]
-DISPOSITIONS = ["accepted", "redelivery", "conflict"]
 PROCESSED = ["accepted", "redelivery"]
 
 PRODUCT_DAY = _struct(
@@ -129,6 +128,7 @@ ENVELOPE = _struct(
     ("value", _S),
 )
 
+# The field names of events and of delivery plans.
 EVENT_FIELDS = ["event_id", "occurred_at", "product_code", "quantity"]
 PLAN_FIELDS = ["delivery_id", "event_id", "phase"]
 
@@ -164,21 +164,3 @@ MARKERS = _struct(
     ("status", _S),
     ("committed_at", _TS),
 )
-
-CHECKPOINT = _struct(
-    ("cluster_id", _S),
-    ("group_id", _S),
-    ("topic", _S),
-    ("partition", _I),
-    ("durable_next_offset", _L),
-)
-
-POSITIONS = _struct(
-    ("cluster_id", _S),
-    ("group_id", _S),
-    ("topic", _S),
-    ("partition", _I),
-    ("broker_committed", _L),
-    ("low", _L),
-    ("high", _L),
-)

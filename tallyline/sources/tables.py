@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Row 1 of a sheet is its header, so the first data row is row 2.
@@ -12,10 +14,13 @@ def located_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Parquet rows with the file they lie in and their row number there.
 
     The scan knows both, so a location costs no shuffle and no sort, and it is unique
-    even when whole rows repeat.
+    even when whole rows repeat. A file is named by the table's own name and what follows it
+    in the path, so equal base names in different folders stay apart.
     """
+    table = path.rstrip("/").rsplit("/", 1)[-1]
+    before = rf"^.*?/(?={re.escape(table)}(?:/|$))"
     return spark.read.parquet(path).select(
         "*",
-        F.col("_metadata.file_name").alias("source_file_name"),
+        F.regexp_replace(F.url_decode("_metadata.file_path"), before, "").alias("source_file_name"),
         (F.col("_metadata.row_index") + FIRST_DATA_ROW).alias("source_row_number"),
     )

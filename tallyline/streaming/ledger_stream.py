@@ -18,15 +18,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyline.errors import ContractViolation, EventConflict, PositionMismatch
 from tallyline.operators import ledger as led
+from tallyline.operators.contracts import require_empty
 from tallyline.operators.events import decode_events
 from tallyline.operators.landing import align_schema
 from tallyline.operators.publish import run_state
 from tallyline.schemas import ATTEMPTS, MARKERS, RUN_EVENTS
 from tallyline.sources.storage import append_rows, read_or_empty
 
-SHOWN = 5
-
-
 @dataclass(frozen=True)
 class Ledger:
     """Tables of an event ledger under one root folder."""
@@ -65,6 +63,10 @@ class Ledger:
     def checkpoint(self) -> DataFrame:
         return led.checkpoint_of(self.markers)
 
+    def refused_folder(self) -> str:
+        """A fresh folder for rows that stop a batch."""
+        return f"{self.root}/refused/{uuid.uuid4().hex}"
+
     def log(self, run_id: str, status: str, error: str | None = None) -> None:
         newest = self.run_events.agg(F.max("event_seq")).first()[0] or 0
         row = {name: None for name in RUN_EVENTS.fieldNames()}
@@ -105,7 +107,7 @@ def _summary(written: DataFrame, checkpoint: DataFrame) -> DataFrame:
     """
     expected = F.coalesce("durable_next_offset", F.lit(0))
     stop = F.min(F.when(F.col("disposition") == "conflict", F.col("kafka_offset")))
-    joined = written.join(checkpoint, led.STREAM, "left").withColumn("_next", expected)
+    joined = written.join(led.per_stream(checkpoint), led.STREAM, "left").withColumn("_next", expected)
     return joined.groupBy(*led.STREAM, "_next").agg(
         F.count_if(F.col("reason").isNotNull()).alias("refused"),
         F.count_if(F.col("kafka_offset") < F.col("_next")).alias("replayed"),
@@ -127,9 +129,10 @@ def _refuse_positions(rows: list, written: DataFrame, ledger: Ledger) -> None:
             raise PositionMismatch(f"{place} has a gap behind offset {row['_next']}")
     if any(row["replayed"] for row in rows):
         unproven = led.unproven_positions(written, ledger.attempts, ledger.checkpoint)
-        head = unproven.select(*led.POSITION).limit(SHOWN).collect()
-        if head:
-            raise PositionMismatch(f"deliveries behind the checkpoint without an exact prior one: {head}")
+        try:
+            require_empty(unproven.select(*led.POSITION), "deliveries behind the checkpoint without an exact prior one", ledger.refused_folder())
+        except ContractViolation as exc:
+            raise PositionMismatch(str(exc)) from exc
 
 
 def write_ledger_batch(ledger: Ledger, run_id: str, batch: DataFrame, batch_id: int) -> None:
@@ -139,7 +142,8 @@ def write_ledger_batch(ledger: Ledger, run_id: str, batch: DataFrame, batch_id:
     )
     decoded = decode_events(batch).withColumnRenamed("reason", "_invalid")
     # An invalid payload has no event id to be classified by; it keeps its row and reason.
-    classified = led.classify(decoded.filter("_invalid IS NULL"), known)
+    # Repeated positions are refused below, from what was written.
+    classified = led.classify(decoded.filter("_invalid IS NULL"), known, unique_positions=True)
     invalid = decoded.filter("_invalid IS NOT NULL").withColumn("reason", F.col("_invalid"))
     rows = classified.unionByName(invalid, allowMissingColumns=True).select(
         "*",
@@ -158,8 +162,7 @@ def write_ledger_batch(ledger: Ledger, run_id: str, batch: DataFrame, batch_id:
     if not summary:
         return
     if any(row["refused"] for row in summary):
-        head = written.filter("reason IS NOT NULL").select(*led.POSITION, "reason").limit(SHOWN).collect()
-        raise ContractViolation(f"deliveries refused: {[tuple(r) for r in head]}")
+        require_empty(written.filter("reason IS NOT NULL").select(*led.POSITION, "reason"), "deliveries refused", ledger.refused_folder())
     _refuse_positions(summary, written, ledger)
 
     seq = (ledger.markers.agg(F.max("batch_seq")).first()[0] or 0) + 1
@@ -200,7 +203,7 @@ def consume_available(source: DataFrame, ledger: Ledger, checkpoint_dir: str) ->
     try:
         start_ledger_stream(source, ledger, checkpoint_dir, run_id).awaitTermination()
     except Exception as exc:
-        ledger.log(run_id, "failed", str(exc)[:4000])
+        ledger.log(run_id, "failed", str(exc))
         raise
     ledger.log(run_id, "succeeded")
     return run_id

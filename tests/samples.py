@@ -8,29 +8,36 @@ from xml.sax.saxutils import escape
 
 from tallyline.schemas import RAW_ROWS, SHEET_HEADER
 
-DAY = dt.datetime(2010, 12, 1, 8, 26)
+DAY = dt.datetime(2023, 3, 15, 14, 5)
 FILE, SHEET = "sha256:sample", "Lines"
 
 
-def line(invoice, code, quantity, price=2.5, when=DAY):
+def line(invoice, code, quantity, price=1.75, when=DAY):
     return [invoice, code, f"about {code}", quantity, when, price, "SOMEONE", "Somewhere"]
 
 
+# Two orders with a numeric product code, a whole row that repeats, a zero and a return; then, from row 50 on,
+# every invoice text there can be: no, one or mixed white space around a prefixed, lower-case, other or empty
+# stem, next to an absent and a logical one.
 CELLS = {
-    2: line(7001, "K10", 6),
-    3: line(7001, 4711, 6),
-    4: line(7001, "K11", 8),
-    5: line(7001, "K12", 2),
-    9: line(7001, "NIL", 0),
-    10: line(7001, "K10", 6),
-    11: line(None, "NONE", 1),
-    12: line(" c-9", "LOWER", 1),
-    13: line("   ", "BLANK", 1),
-    14: line(True, "BOOL", 1),
-    15: line("\t", "TAB", 1),
-    16: line("\tC9\n", "TABC", 1),
-    20: line("C7002", "OFF", -1, 27.5),
+    31: line(880, "TEA", 4),
+    32: line(880, 6001, 9),
+    34: line(881, "CUP", 3),
+    37: line(881, "POT", 12),
+    38: line(880, "TEA", 4),
+    41: line(882, "NONE-SOLD", 0),
+    75: line("C883", "BACK", -5, 8.5),
 }
+AROUND = [("", ""), ("  ", " "), ("\t", "\n ")]
+STEMS = ["C5", "c5", "X5", ""]
+INVOICES = [before + stem + after for before, after in AROUND for stem in STEMS if before + stem + after] + [None, False]
+CELLS |= {50 + i: line(invoice, f"M{i}", 1) for i, invoice in enumerate(INVOICES)}
+
+
+def expected_marker(invoice, kind):
+    """The marker rule once more, on the value itself."""
+    stem = invoice.strip(" \t\r\n") if invoice is not None and kind in ("text", "integer") else ""
+    return "unknown" if not stem else str(stem[0] in "Cc").lower()
 
 
 def _text(value):

@@ -3,7 +3,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from samples import CELLS, FILE, SHEET, line, raw, selection, write_workbook
+from samples import CELLS, FILE, SHEET, expected_marker, line, raw, selection, write_workbook
 
 from tallyline.errors import ContractViolation, ResultNotFound
 from tallyline.operators import compare as cmp
@@ -42,14 +42,14 @@ def states(store):
 
 
 def test_same_input_twice_lands_once_and_counts_repeated_rows(store):
-    numbers = [2, 3, 4, 5, 10, 20]
+    numbers = [31, 32, 34, 37, 38, 75]
     run(store, "r1", numbers)
     run(store, "r2", numbers)
     day = totals(br.current_days(store))
-    assert day["K10"] == (12, 2) and day["4711"] == (6, 1) and day["OFF"] == (-1, 1)
+    assert day["TEA"] == (8, 2) and day["6001"] == (9, 1) and day["BACK"] == (-5, 1)
     assert store.landed.count() == 6
-    rows = store.contributions().filter("run_id = 'r2' AND stock_code = 'K10'")
-    assert sorted(r.source_row_number for r in rows.collect()) == [2, 10]
+    rows = store.contributions().filter("run_id = 'r2' AND stock_code = 'TEA'")
+    assert sorted(r.source_row_number for r in rows.collect()) == [31, 38]
     assert br.current_days(store).first().run_id == "r2"
     chk.assert_no_columns(br.current_days(store), ["customer"])
     chk.assert_no_columns(store.contributions(), ["customer"])
@@ -57,66 +57,119 @@ def test_same_input_twice_lands_once_and_counts_repeated_rows(store):
 
 
 def test_zero_is_present_and_absent_is_absent(store):
-    run(store, "r1", [2, 9, 20])
+    run(store, "r1", [31, 41, 75])
     day = totals(br.current_days(store))
-    assert day["NIL"] == (0, 1) and "OTHER" not in day
+    assert day["NONE-SOLD"] == (0, 1) and "OTHER" not in day
 
 
 @pytest.mark.parametrize("cell, value", [(3, "1.5"), (3, None), (1, None), (5, None), (4, "2010")])
 def test_refused_rows_leave_the_last_good_result(store, cell, value):
-    run(store, "good", [2, 3])
+    run(store, "good", [31, 32])
     cells = copy.deepcopy(CELLS)
-    cells[2][cell] = value
-    with pytest.raises(ContractViolation, match="source_row_number=2"):
-        run(store, "bad", [2], cells)
+    cells[31][cell] = value
+    with pytest.raises(ContractViolation, match="source_row_number=31"):
+        run(store, "bad", [31], cells)
     assert br.current_days(store).first().run_id == "good"
     assert states(store)["bad"] == "failed"
     with pytest.raises(ResultNotFound):
         br.published_days(store, "bad")
 
 
-@pytest.mark.parametrize("numbers, message", [([], "nothing"), ([1, 2], "not_a_data_row"), ([2, 2], "duplicate")])
+@pytest.mark.parametrize("numbers, message", [([], "nothing"), ([1, 31], "not_a_data_row"), ([31, 31], "duplicate")])
 def test_bad_selections_are_refused(store, numbers, message):
     with pytest.raises(ContractViolation, match=message):
-        br.run_batch(store, "r", raw(store.spark, [2]), selection(store.spark, numbers), input_path="in")
+        br.run_batch(store, "r", raw(store.spark, [31]), selection(store.spark, numbers), input_path="in")
 
 
 def test_missing_selected_rows_are_named(store):
-    with pytest.raises(ContractViolation, match="source_row_number=3"):
-        br.run_batch(store, "r", raw(store.spark, [2]), selection(store.spark, [2, 3]), input_path="in")
+    with pytest.raises(ContractViolation, match="source_row_number=32"):
+        br.run_batch(store, "r", raw(store.spark, [31]), selection(store.spark, [31, 32]), input_path="in")
 
 
 def test_failure_after_the_result_was_written_is_not_published(store, monkeypatch):
-    run(store, "good", [2, 3])
-    real = pday.contributions
+    run(store, "good", [31, 32])
+    real = br.Store.log
 
-    def boom(*args, **kwargs):
-        raise RuntimeError("lost")
+    def boom(self, run_id, status, *args, **more):
+        if status == "succeeded":
+            raise RuntimeError("lost")
+        real(self, run_id, status, *args, **more)
 
-    monkeypatch.setattr(br.pday, "contributions", boom)
+    monkeypatch.setattr(br.Store, "log", boom)
     with pytest.raises(RuntimeError, match="lost"):
-        run(store, "half", [3])
-    monkeypatch.setattr(br.pday, "contributions", real)
+        run(store, "half", [32])
+    monkeypatch.setattr(br.Store, "log", real)
     assert br.current_days(store).first().run_id == "good"
     orphans = pub.orphan_results(store.days, pub.publications(store.run_events))
     assert [r.run_id for r in orphans.collect()] == ["half"]
 
 
+def test_a_run_id_is_used_once(store):
+    run(store, "r", [31, 32])
+    before = totals(br.published_days(store, "r"))
+    with pytest.raises(ContractViolation, match="taken"):
+        run(store, "r", [31, 32])
+    assert totals(br.published_days(store, "r")) == before and store.members.count() == 2
+    cells = copy.deepcopy(CELLS)
+    cells[34][3] = "x"
+    with pytest.raises(ContractViolation):
+        run(store, "f", [34], cells)
+    with pytest.raises(ContractViolation, match="taken"):
+        run(store, "f", [34])
+
+
+def test_every_violation_is_kept(store):
+    cells = {n: line(1, "K", f"{n}.5") for n in range(2, 302)}
+    with pytest.raises(ContractViolation, match="300 violations"):
+        run(store, "bad", list(cells), cells)
+    kept = store.spark.read.json(f"{store.root}/violations")
+    assert kept.filter("run_id = 'bad' AND gate = 'typed'").count() == 300
+
+
+def test_a_changed_file_under_the_same_name_is_refused(store):
+    run(store, "a", [31, 32])
+    cells = copy.deepcopy(CELLS)
+    cells[31][3] = 100
+    with pytest.raises(ContractViolation, match="differently"):
+        run(store, "b", [31, 32], cells)
+    assert br.current_days(store).first().run_id == "a"
+
+
+def test_files_and_manifests_are_gated_closed(store):
+    spark = store.spark
+    files = spark.sql("SELECT 'a' original_file_name, 'x' sha256 UNION ALL SELECT 'b', 'y' UNION ALL SELECT 'c', NULL")
+    manifests = spark.sql("SELECT 'a' original_file_name, 'x' expected_sha256 UNION ALL SELECT 'c', NULL UNION ALL SELECT 'd', 'z'")
+    assert sorted(r.original_file_name for r in chk.fingerprint_violations(files, manifests).collect()) == ["b", "c", "d"]
+    with pytest.raises(ContractViolation, match="both or neither"):
+        run(store, "r", [31], files=files)
+
+
+def test_groups_are_one_row_over_many_files(store):
+    spark = store.spark
+    both = raw(spark, [31, 32]).unionByName(raw(spark, [31, 38], file="sha256:second"))
+    for run_id, rows in (("one", [31, 32]), ("two", [31])):
+        chosen = selection(spark, rows).unionByName(selection(spark, [31, 38], "sha256:second"))
+        br.run_batch(store, run_id, both, chosen, input_path="in")
+    groups = {r.stock_code: r for r in compare_published(store, "one", "two").groups.collect()}
+    assert (groups["TEA"].base_sample_quantity_sum, groups["TEA"].base_observed_row_count, groups["TEA"].changed) == (12, 3, False)
+    assert groups["6001"].current_state == "not_present"
+
+
 def test_scopes_and_comparison_of_selections(store):
-    run(store, "a", [2, 3])
-    run(store, "b", [3])
-    br.run_batch(store, "c", raw(store.spark, [2, 3]), selection(store.spark, [3, 2]), input_path="in")
+    run(store, "a", [31, 32])
+    run(store, "b", [32])
+    br.run_batch(store, "c", raw(store.spark, [31, 32]), selection(store.spark, [32, 31]), input_path="in")
     ids = {r.run_id: r.input_scope_id for r in store.scopes.collect()}
     assert ids["a"] == ids["c"] != ids["b"]
     assert (store.landed.count(), store.members.count()) == (2, 5)
     found = compare_published(store, "a", "b")
     basis = found.basis.first()
     assert basis.code == "selection_scope_changed" and basis.selection_scope_changed
-    assert [(r.change, r.source_row_number) for r in found.selected_rows.collect()] == [("removed", 2)]
-    group = found.groups.filter("stock_code = 'K10'").first()
-    assert (group.base_sample_quantity_sum, group.current_state, group.changed) == (6, "not_present", True)
+    assert [(r.change, r.source_row_number) for r in found.selected_rows.collect()] == [("removed", 31)]
+    group = found.groups.filter("stock_code = 'TEA'").first()
+    assert (group.base_sample_quantity_sum, group.current_state, group.changed) == (4, "not_present", True)
     assert group.removed_row_count == 1
-    assert [tuple(r)[3:] for r in found.locations.collect()] == [(FILE, SHEET, 2)]
+    assert [tuple(r)[3:] for r in found.locations.collect()] == [(FILE, SHEET, 31)]
     assert compare_published(store, "a", "c").basis.first().code == "same_input_scope_and_rule"
     assert not compare_published(store, "a", "c").groups.filter("changed").count()
     listed = pub.published_list(pub.publications(store.run_events), pub.run_state(store.run_events), store.scopes)
@@ -126,8 +179,8 @@ def test_scopes_and_comparison_of_selections(store):
 
 
 def test_comparison_mirrors(store):
-    run(store, "a", [2, 3, 4])
-    run(store, "b", [3, 5, 10])
+    run(store, "a", [31, 32, 34])
+    run(store, "b", [32, 37, 38])
     there, back = compare_published(store, "a", "b"), compare_published(store, "b", "a")
     flip = {"added": "removed", "removed": "added"}
     assert sorted((flip[r[0]], *r[1:]) for r in there.locations.collect()) == sorted(map(tuple, back.locations.collect()))
@@ -159,7 +212,7 @@ def test_other_file_or_rule_or_unrecorded_rule(spark):
 
 def test_recovery_closes_dead_runs_and_links_what_they_wrote(store):
     spark = store.spark
-    run(store, "good", [2, 3])
+    run(store, "good", [31, 32])
     store.log("dead", "running", br._now())
     store.log("alive", "running", br._now())
     half = store.days.withColumn("run_id", F.lit("dead"))
@@ -190,31 +243,30 @@ def test_no_result_and_double_claims_are_told_apart(store):
 
 
 def test_landing_is_first_write_wins(spark):
-    first = raw(spark, [2, 3])
+    first = raw(spark, [31, 32])
     changed = copy.deepcopy(CELLS)
-    changed[2][3] = 99
-    second = raw(spark, [2, 4], changed)
+    changed[31][3] = 99
+    second = raw(spark, [31, 34], changed)
     new = land.land_rows(first, second.unionByName(second))
-    assert [r.source_row_number for r in new.collect()] == [4]
+    assert [r.source_row_number for r in new.collect()] == [34]
     landed = first.unionByName(new)
     assert land.land_rows(landed, second).count() == 0
 
 
 def test_backfill_fills_but_never_overwrites(spark):
-    older = raw(spark, [2, 12]).withColumn(
-        "invoice_no_source_kind", F.when(F.col("source_row_number") == 12, F.lit("kept"))
+    older = raw(spark, [31, 50]).withColumn(
+        "invoice_no_source_kind", F.when(F.col("source_row_number") == 50, F.lit("kept"))
     )
-    got = land.backfill_kind(older, raw(spark, [2, 12])).orderBy("source_row_number").collect()
+    got = land.backfill_kind(older, raw(spark, [31, 50])).orderBy("source_row_number").collect()
     assert [r.invoice_no_source_kind for r in got] == ["integer", "kept"]
 
 
 def test_markers_of_landed_rows(spark):
-    rows = typed_lines(raw(spark, [2, 11, 12, 13, 14, 15, 16, 20])).collect()
-    got = {r.stock_code: (r.invoice_no, r.source_cancellation_marker) for r in rows}
-    assert got == {
-        "K10": ("7001", "false"), "NONE": (None, "unknown"), "LOWER": (" c-9", "true"), "BLANK": ("   ", "unknown"),
-        "BOOL": ("True", "unknown"), "TAB": ("\t", "unknown"), "TABC": ("\tC9\n", "true"), "OFF": ("C7002", "true"),
-    }
+    rows = {r.source_row_number: r for r in typed_lines(raw(spark, list(CELLS))).collect()}
+    for n, cells in CELLS.items():
+        text = None if cells[0] is None else str(cells[0])
+        assert rows[n].invoice_no == text
+        assert rows[n].source_cancellation_marker == expected_marker(text, rows[n].invoice_no_source_kind)
 
 
 def test_pages_hold_every_row_in_order(spark):
@@ -236,8 +288,8 @@ def test_scope_id_ignores_order_and_repeats_across_slices(spark):
 
 
 def test_row_diff_is_empty_for_other_files(spark):
-    a = land.select_rows(selection(spark, [2]), None, "a")
-    b = land.select_rows(selection(spark, [3], "sha256:other"), None, "b")
+    a = land.select_rows(selection(spark, [31]), None, "a")
+    b = land.select_rows(selection(spark, [32], "sha256:other"), None, "b")
     assert row_diff(a.unionByName(b), "a", "b").count() == 0
 
 
@@ -265,8 +317,8 @@ def test_workbooks_end_to_end(spark, tmp_path, store):
     folder.mkdir()
     book = write_workbook(folder / "one.xlsx", list(CELLS))
     (folder / "two.xlsx").write_bytes(b"not a workbook")
-    write_workbook(folder / "three.xlsx", [2], header=[*"ABCDEFGH"])
-    write_workbook(folder / "four.xlsx", [2], sheet="Elsewhere")
+    write_workbook(folder / "three.xlsx", [31], header=[*"ABCDEFGH"])
+    write_workbook(folder / "four.xlsx", [31], sheet="Elsewhere")
     rows = scan_workbooks(spark, str(folder), SHEET)
     assert {r.source_path.rsplit("/")[-1] for r in workbook_errors(rows).collect()} == {"two.xlsx", "four.xlsx"}
     assert chk.header_violations(rows).count() == 1
@@ -274,7 +326,7 @@ def test_workbooks_end_to_end(spark, tmp_path, store):
     only = scan_workbooks(spark, str(book), SHEET)
     landed = raw_sheet_rows(only)
     got = {r.source_row_number: r for r in landed.collect()}
-    assert sorted(got) == list(range(2, 21))  # rows left out by the file read as empty rows
+    assert sorted(got) == list(range(2, 76))  # rows left out by the file read as empty rows
     want = {r.source_row_number: r for r in raw(spark, list(CELLS)).collect()}
     text = [c for c in landed.columns if c not in ("source_file_id", "loaded_at")]
     assert all(got[n][c] == want[n][c] for n in CELLS for c in text)
@@ -283,7 +335,7 @@ def test_workbooks_end_to_end(spark, tmp_path, store):
     digest = files.first().sha256
     manifest = {
         "dataset": "own rows", "source_url": "none", "expected_sha256": digest, "sheet": SHEET,
-        "selected_excel_rows": [2, 10, 20], "scope_note": "listed rows only",
+        "selected_excel_rows": [31, 38, 75], "scope_note": "listed rows only",
     }
     (tmp_path / "m.json").write_text(json.dumps(manifest, indent=1))
     (tmp_path / "n.json").write_text(json.dumps({k: v for k, v in manifest.items() if k != "sheet"}))
@@ -292,7 +344,7 @@ def test_workbooks_end_to_end(spark, tmp_path, store):
     good = manifests.filter("manifest_file = 'm.json'").withColumn("original_file_name", F.lit("one.xlsx"))
     chosen = manifest_selection(good).withColumn("source_file_id", F.lit(f"sha256:{digest}"))
     br.run_batch(store, "w", landed, chosen, input_path=str(book), files=files, manifests=good, sheet_rows=only)
-    assert totals(br.current_days(store)) == {"K10": (12, 2), "OFF": (-1, 1)}
+    assert totals(br.current_days(store)) == {"TEA": (8, 2), "BACK": (-5, 1)}
     about = good.withColumn("source_file_id", F.lit(f"sha256:{digest}")).select("source_file_id", "dataset", "source_url", "scope_note")
     br.export_result(store, "w", about, str(tmp_path / "out"))
     header = spark.read.json(str(tmp_path / "out/header")).first()
@@ -306,9 +358,9 @@ def test_workbooks_end_to_end(spark, tmp_path, store):
 
 
 def test_price_text_is_kept(spark, store):
-    cells = {2: line(1, "K", 1, price=1.234567)}
-    run(store, "r", [2], cells)
-    assert store.contributions().first().unit_price_source_text == "1.234567"
+    cells = {31: line(1, "K", 1, price=0.987654)}
+    run(store, "r", [31], cells)
+    assert store.contributions().first().unit_price_source_text == "0.987654"
 
 
 def test_jsonl_lines(spark, tmp_path):

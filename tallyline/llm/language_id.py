@@ -119,12 +119,12 @@ class Languages:
             here = symbols[start[:n] + k][:, None]
             to = self.step[state[:n] * np.int64(self.n_symbols) + here]
             broken = to < 0
+            if k:
+                # A phrase ends before this character: no longer one fits, or the last one was an unseen character, a phrase by itself.
+                counts[:n] += broken | (state[:n] == roots)
             if broken.any():
-                # The phrase ends here and the next one starts with this character; an unseen one is a phrase by itself.
                 again = self.step[roots * np.int64(self.n_symbols) + here]
                 to = np.where(broken, np.where(again >= 0, again, roots), to)
-                if k:
-                    counts[:n] += broken
             state[:n] = to
         return counts
 

@@ -163,4 +163,6 @@ MARKERS = _struct(
     ("next_offset", _L),
     ("status", _S),
     ("committed_at", _TS),
+    ("cluster_id", _S),
+    ("group_id", _S),
 )

@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyline.schemas import ENVELOPE
 
 
-def kafka_source_options(servers: str, topic: str, **extra: str) -> dict[str, str]:
+# Offsets a micro-batch may hold, over all partitions: a backlog is taken in parts, each refused or kept by itself.
+BATCH_OFFSETS = 5_000_000
+
+
+def kafka_source_options(servers: str, topic: str, batch_offsets: int = BATCH_OFFSETS, **extra: str) -> dict[str, str]:
     """Start at the earliest offset, and fail when the log lost data instead of skipping it.
 
     Progress is the ledger's and the query's own; nothing commits offsets behind them.
@@ -17,6 +21,7 @@ def kafka_source_options(servers: str, topic: str, **extra: str) -> dict[str, st
         "subscribe": topic,
         "startingOffsets": "earliest",
         "failOnDataLoss": "true",
+        "maxOffsetsPerTrigger": str(batch_offsets),
         **extra,
     }
 

@@ -21,9 +21,11 @@ from tallyline.operators import ledger as led
 from tallyline.operators.contracts import require_empty
 from tallyline.operators.events import decode_events
 from tallyline.operators.landing import align_schema
+from tallyline.operators.positions import stream_verdicts
 from tallyline.operators.publish import run_state
 from tallyline.schemas import ATTEMPTS, MARKERS, RUN_EVENTS
 from tallyline.sources.storage import append_rows, read_or_empty
+from tallyline.sources.streams import BATCH_OFFSETS
 
 @dataclass(frozen=True)
 class Ledger:
@@ -63,6 +65,13 @@ class Ledger:
     def checkpoint(self) -> DataFrame:
         return led.checkpoint_of(self.markers)
 
+    @property
+    def binding(self) -> DataFrame:
+        """The checkpoint with the cluster and group each stream partition was read from."""
+        return self.markers.groupBy(*led.STREAM).agg(
+            F.max("next_offset").alias("durable_next_offset"), F.max("cluster_id").alias("cluster_id"), F.max("group_id").alias("group_id")
+        )
+
     def refused_folder(self) -> str:
         """A fresh folder for rows that stop a batch."""
         return f"{self.root}/refused/{uuid.uuid4().hex}"
@@ -135,8 +144,13 @@ def _refuse_positions(rows: list, written: DataFrame, ledger: Ledger) -> None:
             raise PositionMismatch(str(exc)) from exc
 
 
-def write_ledger_batch(ledger: Ledger, run_id: str, batch: DataFrame, batch_id: int) -> None:
-    """Classify one micro-batch against the visible ledger, write it, judge it, mark it."""
+def write_ledger_batch(
+    ledger: Ledger, run_id: str, batch: DataFrame, batch_id: int, origins: dict[tuple[str, int], tuple[str, str]] | None = None
+) -> None:
+    """Classify one micro-batch against the visible ledger, write it, judge it, mark it.
+
+    ``origins`` tells the cluster and group of each stream partition, for its marker.
+    """
     known = ledger.events.withColumnsRenamed({"first_topic": "topic", "first_partition": "partition"}).select(
         "event_id", "topic", "partition", "payload_sha256"
     )
@@ -173,7 +187,7 @@ def write_ledger_batch(ledger: Ledger, run_id: str, batch: DataFrame, batch_id:
         reached = row["high"] + 1 if stop is None else stop
         marks.append(
             (run_id, batch_id, seq, row["topic"], row["partition"], stop, max(row["_next"], reached),
-             "committed" if stop is None else "conflict", now)
+             "committed" if stop is None else "conflict", now, *(origins or {}).get((row["topic"], row["partition"]), (None, None)))
         )
     append_rows(ledger.spark, marks, MARKERS, f"{ledger.root}/markers")
     stopped = [row for row in summary if row["stop_offset"] is not None]
@@ -182,11 +196,27 @@ def write_ledger_batch(ledger: Ledger, run_id: str, batch: DataFrame, batch_id:
         raise EventConflict(f"an event id has different content at {places}")
 
 
-def start_ledger_stream(source: DataFrame, ledger: Ledger, checkpoint_dir: str, run_id: str) -> StreamingQuery:
+def trusted_origins(ledger: Ledger, positions: DataFrame, max_ahead: int) -> dict[tuple[str, int], tuple[str, str]]:
+    """Cluster and group per stream partition, once every partition's position may be trusted; else refuse.
+
+    One row per stream partition reaches the driver.
+    """
+    held = 0 if ledger.written.isEmpty() else 1
+    verdicts = stream_verdicts(positions, ledger.binding, held, max_ahead)
+    rows = verdicts.limit(led.MAX_STREAMS + 1).collect()
+    refused = sorted(f"{r['topic']}[{r['partition']}] {r['reason']}" for r in rows if r["reason"])
+    if refused or len(rows) > led.MAX_STREAMS:
+        raise PositionMismatch("stream positions are not to be trusted: " + "; ".join(refused))
+    return {(r["topic"], r["partition"]): (r["cluster_id"], r["group_id"]) for r in rows}
+
+
+def start_ledger_stream(
+    source: DataFrame, ledger: Ledger, checkpoint_dir: str, run_id: str, origins: dict[tuple[str, int], tuple[str, str]] | None = None
+) -> StreamingQuery:
     """Consume everything available at the start, then end."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_ledger_batch(ledger, run_id, batch, batch_id)
+        write_ledger_batch(ledger, run_id, batch, batch_id, origins)
 
     return (
         source.writeStream.foreachBatch(each)
@@ -196,12 +226,20 @@ def start_ledger_stream(source: DataFrame, ledger: Ledger, checkpoint_dir: str,
     )
 
 
-def consume_available(source: DataFrame, ledger: Ledger, checkpoint_dir: str) -> str:
-    """One consumer run over what is available; its state is recorded either way."""
+def consume_available(
+    source: DataFrame, ledger: Ledger, checkpoint_dir: str, positions: DataFrame | None = None, max_ahead: int = BATCH_OFFSETS
+) -> str:
+    """One consumer run over what is available; its state is recorded either way.
+
+    ``positions`` are the broker's: cluster_id, group_id, topic, partition, broker_committed,
+    low and high. With them the run starts only if every partition's verdict lets it, and the
+    ledger is bound to that cluster and group. ``max_ahead`` is how many offsets a batch may hold.
+    """
     run_id = str(uuid.uuid4())
     ledger.log(run_id, "running")
     try:
-        start_ledger_stream(source, ledger, checkpoint_dir, run_id).awaitTermination()
+        origins = None if positions is None else trusted_origins(ledger, positions, max_ahead)
+        start_ledger_stream(source, ledger, checkpoint_dir, run_id, origins).awaitTermination()
     except Exception as exc:
         ledger.log(run_id, "failed", str(exc))
         raise

@@ -241,10 +241,57 @@ def test_position_verdicts(spark):
         assert (got.reason, got.start_offset) == (reason, start)
 
 
+def at(spark, broker, low, high, cluster="c", group="g"):
+    return spark.sql(f"SELECT '{cluster}' cluster_id, '{group}' group_id, 't' topic, 0 partition, {broker}L broker_committed, {low}L low, {high}L high")
+
+
+def test_consuming_is_bound_to_one_stream(feed, ledger):
+    spark = ledger.spark
+    topic = "t"
+    feed.send(E1, E2)
+    source = lambda: streams.read_event_files(spark, str(feed.folder / "in")).withColumn("topic", F.lit(topic))
+    run = lambda positions: ls.consume_available(source(), ledger, str(feed.folder / "bound"), positions)
+    for bad, reason in ((at(spark, 1, 0, 2), "empty_ledger_but_group_advanced"), (at(spark, -1001, 1, 2), "log_does_not_start_at_zero")):
+        with pytest.raises(Exception, match=reason):
+            run(bad)
+    run(at(spark, -1001, 0, 2))
+    assert tuple(ledger.binding.first())[2:] == (2, "c", "g")
+    feed.send(E3)
+    for bad, reason in (
+        (at(spark, 2, 0, 3, cluster="d"), "different_stream"), (at(spark, 2, 0, 3, group="h"), "different_stream"),
+        (at(spark, 3, 0, 3), "group_ahead_of_ledger"), (at(spark, 3, 3, 3), "log_begins_after_checkpoint"), (at(spark, 1, 0, 1), "log_ends_before_checkpoint"),
+    ):
+        with pytest.raises(Exception, match=reason):
+            run(bad)
+    assert next_offset(ledger) == {0: 2}
+    run(at(spark, 2, 0, 3))
+    assert next_offset(ledger) == {0: 3}
+
+
+def test_the_log_twice_accepts_each_id_once(spark):
+    rows = [("t", 0, i, f"e{i % 3}", "x" if i < 5 else "y") for i in range(6)]
+    log = spark.createDataFrame(rows, "topic string, partition int, kafka_offset bigint, event_id string, payload_sha256 string")
+    got = led.classify(log.unionByName(log)).groupBy("disposition").count().collect()
+    assert {r.disposition: r["count"] for r in got} == {"accepted": 3, "redelivery": 3 + 2 * 2, "conflict": 2}
+
+
+def test_stops_do_not_move_the_log_by_stream(spark):
+    rows = [("t", i % 2, i, f"e{i % 3}", "x") for i in range(6)]
+    log = spark.createDataFrame(rows, "topic string, partition int, kafka_offset bigint, event_id string, payload_sha256 string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = led.classify(log, unique_positions=True)
+        plan = led.cut_at_stops(found, led.stop_points(found))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.split("\n") if "Join" in line and "topic" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+
+
 def test_kafka_options_never_commit_or_skip():
     source = streams.kafka_source_options("h:1", "t")
     assert source["startingOffsets"] == "earliest" and source["failOnDataLoss"] == "true"
-    assert not any("auto" in k for k in source)
+    assert not any("auto" in k for k in source) and int(source["maxOffsetsPerTrigger"]) > 0
     sink = streams.kafka_sink_options("h:1", "t")
     assert sink["kafka.acks"] == "all" and sink["kafka.enable.idempotence"] == "true"
 

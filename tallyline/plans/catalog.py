@@ -25,7 +25,7 @@ from tallyline.plans import retail_views as rv
 from tallyline.plans import run_views as runs_v
 from tallyline.schemas import CONSUMER_STATUSES, LOCATION, SCOPES
 from tallyline.session import scratch_path
-from tallyline.streaming.ledger_stream import Ledger, consume_available
+from tallyline.streaming.ledger_stream import Ledger, consume_available, ledger_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,6 +326,13 @@ def restrict_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(*LOCATION, "stock_code_raw", "quantity_raw")
 
 
+@query
+def selection_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose caller names the rows: they count instead of the manifest's, which are all rows."""
+    default, override = rv.members_all(spark, sf_dir), rv.members_kept(spark, sf_dir)
+    return land.select_rows(default, override, "run-override")
+
+
 @query
 def scope_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scp.scope_ids(rv.members_both(spark, sf_dir))
@@ -385,6 +392,22 @@ def compare_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basis
 
 
+@query
+def compare_basis_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full selection against itself, read twice."""
+    basis = cmp.compare_basis(_month_scopes(spark, sf_dir, False), _month_scopes(spark, sf_dir, False))
+    return basis.select("code", "sheet_changed", "selection_scope_changed")
+
+
+@query
+def compare_basis_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months that both selections hold: only what is selected in them may differ."""
+    base, current = _month_scopes(spark, sf_dir, False), _month_scopes(spark, sf_dir, True)
+    shared = base.join(current.select("sheet_name"), "sheet_name", "left_semi").select(base.columns)
+    basis = cmp.compare_basis(shared, current)
+    return basis.select("code", "sheet_changed", "selection_scope_changed")
+
+
 @query
 def basis_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against an older result that recorded no transformation rule."""
@@ -742,13 +765,32 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole log consumed by the ledger stream, then read back as totals."""
+def _consumed(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The whole log consumed by the ledger stream."""
     folder = scratch_path(spark, "ledger")
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     # As a pattern, so that the table may be one file or a folder of files.
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
     ledger = Ledger(spark, f"{folder}/ledger")
     consume_available(dv.deliveries(dv.located(stream)), ledger, f"{folder}/checkpoint")
-    return _totals(led.ledger_product_day(ledger.events))
+    return ledger
+
+
+@query
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log consumed by the ledger stream, then read back as totals."""
+    return _totals(led.ledger_product_day(_consumed(spark, sf_dir).events))
+
+
+@query
+def stream_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commit audit after the whole log was consumed."""
+    commits = ledger_snapshot(_consumed(spark, sf_dir))["commits"]
+    return commits.select("topic", "partition", "committed_next_offset")
+
+
+@query
+def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot's attempts, in the order they became durable."""
+    attempts = ledger_snapshot(_consumed(spark, sf_dir))["attempts"]
+    return attempts.select("topic", "partition", "kafka_offset", "event_id", "payload_sha256", "disposition")

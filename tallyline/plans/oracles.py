@@ -419,6 +419,22 @@ ORACLES: dict[str, str] = {
           false AS transformation_rule_unrecorded
         FROM scope_changed s, sheets_changed h""",
     ),
+    "compare_basis_same": _q(
+        RAW,
+        """SELECT CASE WHEN count(*) > 0 THEN 'same_input_scope_and_rule' END AS code,
+          false AS sheet_changed, false AS selection_scope_changed FROM raw""",
+    ),
+    "compare_basis_selection": _q(
+        RAW,
+        """SELECT CASE WHEN bool_or(l_returnflag = 'R') THEN 'selection_scope_changed' ELSE 'same_input_scope_and_rule' END AS code,
+          false AS sheet_changed, bool_or(l_returnflag = 'R') AS selection_scope_changed
+        FROM raw WHERE sheet_name IN (SELECT sheet_name FROM raw WHERE l_returnflag <> 'R')""",
+    ),
+    "selection_override": _q(
+        RAW,
+        """SELECT 'run-override' AS run_id, source_file_id, sheet_name, source_row_number FROM raw
+        WHERE l_returnflag <> 'R'""",
+    ),
     "basis_reasons": _q(
         RAW + _SCOPE,
         """SELECT 'source_sheet_or_rule_changed' AS code,
@@ -624,6 +640,12 @@ ORACLES: dict[str, str] = {
         FROM log JOIN stops USING (topic, partition) WHERE product_code = 'view'
         GROUP BY topic, partition, kafka_offset, event_id, payload_sha256""",
     ),
+    "stream_commits": _q(
+        CLEAN_LOG, "SELECT topic, partition, max(kafka_offset) + 1 AS committed_next_offset FROM log GROUP BY topic, partition"
+    ),
+    "stream_attempts": _q(
+        CLEAN_LOG, "SELECT topic, partition, kafka_offset, event_id, payload_sha256, disposition FROM disp"
+    ),
     "stream_ledger": _q(
         CLEAN_LOG,
         f"SELECT {_TOTALS.format('q')} FROM disp WHERE disposition = 'accepted' GROUP BY observed_date, product_code",

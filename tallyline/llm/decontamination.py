@@ -19,7 +19,7 @@ from tallyline.llm.common import raw_texts, slices, table, written
 GRAM = 3
 MIN_SIMILARITY = 0.8
 # Bytes of item texts that are sent to all tasks at once; more items are handled in as many blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 # Cells of alignment tables held at once.
 AT_ONCE = 1 << 20
 _KEEP = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))

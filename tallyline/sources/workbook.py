@@ -158,8 +158,12 @@ def workbook_errors(sheet_rows: DataFrame) -> DataFrame:
 
 
 def raw_sheet_rows(sheet_rows: DataFrame) -> DataFrame:
-    """Data rows (from row 2) in the landing schema, text as read."""
-    data = sheet_rows.filter("source_row_number >= 2")
+    """Data rows (from row 2) in the landing schema, text as read.
+
+    A workbook that could not be read to its end fails the job: its first rows alone are no source.
+    """
+    broken = F.raise_error(F.concat(F.lit("workbook not readable: "), "source_path", F.lit(", "), "error"))
+    data = sheet_rows.filter(F.when(F.col("error").isNotNull(), broken.cast("boolean")).otherwise(F.col("source_row_number") >= 2))
 
     def cell(index: int):
         return raw_text(F.get("cells", F.lit(index)), F.get("cell_types", F.lit(index)))

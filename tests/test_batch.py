@@ -322,6 +322,8 @@ def test_workbooks_end_to_end(spark, tmp_path, store):
     rows = scan_workbooks(spark, str(folder), SHEET)
     assert {r.source_path.rsplit("/")[-1] for r in workbook_errors(rows).collect()} == {"two.xlsx", "four.xlsx"}
     assert chk.header_violations(rows).count() == 1
+    with pytest.raises(Exception, match="workbook not readable"):
+        raw_sheet_rows(rows).collect()
 
     only = scan_workbooks(spark, str(book), SHEET)
     landed = raw_sheet_rows(only)

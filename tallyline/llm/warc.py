@@ -18,7 +18,8 @@ BREAKING = (
 )
 # Named character references that are decoded, the ampersand last.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-_BLANK = r"[ \t\x0B\f\r]+"
+# Runs of blanks, and single ones that are no space; a single space stays as it is.
+_BLANK = r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]"
 
 
 def plain_text(html: Column) -> Column:
@@ -33,7 +34,7 @@ def plain_text(html: Column) -> Column:
         text = F.replace(text, F.lit(name), F.lit(ch))
     text = F.regexp_replace(text, _BLANK, " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
+    return F.trim(text, F.lit(" \n"))
 
 
 def title_of(html: Column) -> Column:

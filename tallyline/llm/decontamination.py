@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare word n-grams find candidates, local alignment scores them.
+"""Benchmark decontamination: rare words find candidates, local alignment scores them.
 
-An item of n words whose copy differs in at most e words keeps all but 3e of its 3-word
-grams, so of any 3e + 1 of its grams at least one survives in the copy. The 3e + 1 rarest
-grams, by the number of documents that hold them, are the item's seeds: they lose no copy and
-meet few other passages. The text around a seed is aligned with the item by Smith-Waterman.
+A copy matches all but e of an item's n words, in order, whatever is inserted between them. So of
+any e + m of its words at least m are matched. The rarest e + m words of the item, by their number
+in the corpus, are its seeds; a place where m of them meet is a candidate, which loses no copy.
+The text around it is aligned with the item by Smith-Waterman.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyline.llm.common import raw_texts, slices, table, written
 
-GRAM = 3
 MIN_SIMILARITY = 0.8
+# Seeds that must meet: more of them leave fewer chance candidates, and none costs a copy.
+MEETING = 4
 # Bytes of item texts that are sent to all tasks at once; more items are handled in as many blocks.
 BLOCK_BYTES = 4 << 20
-# Cells of alignment tables held at once.
+# Cells of alignment tables, or seed hits, held at once.
 AT_ONCE = 1 << 20
 _KEEP = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-_COUNT = pa.schema([("gram", pa.int64()), ("documents", pa.int64())])
+_COUNT = pa.schema([("word", pa.int64()), ("times", pa.int64())])
 _PASSAGE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item", pa.int32()), ("start_word", pa.int64()), ("passage", pa.string())])
 _SCORED = pa.schema(
     [("doc_id", pa.int64()), ("text_key", pa.int64()), ("item", pa.int32()), ("score", pa.int64()), ("matched_words", pa.int64()),
@@ -39,117 +40,121 @@ def words_of(text: bytes | str) -> list[bytes]:
 
 
 class Items:
-    """A block of benchmark items as numbers: their words, and which grams they hold."""
+    """A block of benchmark items as numbers: the words of each."""
 
     def __init__(self, texts: list[str]):
         self.vocabulary: dict[bytes, int] = {}
         self.words = [
             np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(t)], np.int64) for t in texts
         ]
-        self.base = len(self.vocabulary) + 1
-        rows = [(i, k) for i, w in enumerate(self.words) for k in range(max(1, len(w) - GRAM + 1)) if len(w)]
-        self.item, self.place = np.array(rows, np.int64).reshape(-1, 2).T
-        self.code = np.array([self._code(self.words[i][k : k + GRAM]) for i, k in rows], np.int64)
-
-    def _code(self, words: np.ndarray) -> int:
-        code = 0
-        for w in [*words.tolist(), *[self.base - 1] * (GRAM - len(words))]:
-            code = code * self.base + w
-        return code
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Words as numbers, -1 for those of no item."""
         get = self.vocabulary.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
-    def grams(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and codes of the windows made of item words only; items under three words match on what they have."""
-        found = []
-        for size in range(1, GRAM + 1):
-            n = len(numbers) - size + 1
-            if n < 1 or (size < GRAM and not any(len(w) == size for w in self.words)):
-                continue
-            code, known = np.zeros(n, np.int64), np.ones(n, bool)
-            for j in range(GRAM):
-                part = numbers[j : j + n] if j < size else np.full(n, self.base - 1)
-                known &= part >= 0
-                code = code * self.base + part
-            at = np.flatnonzero(known)
-            found.append((at, code[at]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-
 
 def edits(n: int) -> int:
-    """Words in which a copy of an item of n words may differ."""
+    """Words of an item of n words that a copy need not match."""
     return int(n * (1 - MIN_SIMILARITY) + 1e-9)
 
 
-def _gram_counts(items: Items):
-    """In how many documents each gram of the items occurs, summed per task."""
+def _word_counts(items: Items):
+    """How often each word of the items occurs, summed per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.unique(items.code)
-        counts = np.zeros(len(codes), np.int64)
+        counts = np.zeros(len(items.vocabulary), np.int64)
         for batch in slices(batches):
             for text in raw_texts(batch):
-                _, found = items.grams(items.numbers(words_of(text)))
-                if len(found):
-                    found = np.unique(found)
-                    k = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
-                    counts[k[codes[k] == found]] += 1
+                found = items.numbers(words_of(text))
+                counts += np.bincount(found[found >= 0], minlength=len(counts))
         some = np.flatnonzero(counts)
-        yield table(_COUNT, gram=codes[some], documents=counts[some])
+        yield table(_COUNT, word=some, times=counts[some])
 
     return run
 
 
-def _seeds(items: Items, counts: DataFrame) -> dict[int, list[tuple[int, int]]]:
-    """The seeds of each item, as (item, place) by gram code: its rarest grams, as many as edits can destroy plus one."""
-    known = {row.gram: row.documents for row in counts.groupBy("gram").agg(F.sum("documents").alias("documents")).collect()}
-    order = np.lexsort((items.place, np.array([known.get(c, 0) for c in items.code.tolist()], np.int64), items.item))
-    taken: dict[int, int] = {}
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    for k in order.tolist():
-        item = int(items.item[k])
-        taken[item] = taken.get(item, 0) + 1
-        if taken[item] <= GRAM * edits(len(items.words[item])) + 1:
-            seeds.setdefault(int(items.code[k]), []).append((item, int(items.place[k])))
-    return seeds
-
-
-def windows(hits: list[tuple[int, int]], items: Items, n_words: int) -> Iterator[tuple[int, int, int]]:
-    """(item, start, end) of the word ranges around seed hits (item, start of the copy if unedited) of one text."""
-    hits.sort()
-    at = 0
-    while at < len(hits):
-        item, first = hits[at]
-        length = len(items.words[item])
-        slack = edits(length) + 1
-        last, at = first, at + 1
-        while at < len(hits) and hits[at][0] == item and hits[at][1] <= last + slack:
-            last, at = hits[at][1], at + 1
-        yield item, max(0, first - slack), min(n_words, last + length + slack)
-
-
-def _candidates(items: Items, seeds: dict[int, list[tuple[int, int]]]):
-    codes = np.array(sorted(seeds), np.int64)
+class Seeds:
+    """The rarest words of each item, and how many of them a copy must match."""
+
+    def __init__(self, items: Items, times: np.ndarray):
+        word, item, place, need = [], [], [], []
+        for i, words in enumerate(items.words):
+            e = edits(len(words))
+            rarest = np.argsort(times[words], kind="stable")[: e + MEETING]
+            word.append(words[rarest])
+            item.append(np.full(len(rarest), i, np.int64))
+            place.append(rarest)
+            need.append(len(rarest) - e)
+        self.need, self.lengths = np.array(need, np.int64), items.lengths
+        words = np.concatenate(word)
+        order = np.argsort(words, kind="stable")
+        self.item, self.place = np.concatenate(item)[order], np.concatenate(place)[order]
+        # Seeds of each word; the last entry is that of words of no item.
+        self.count = np.r_[np.bincount(words, minlength=len(items.vocabulary)), 0]
+        self.first = np.cumsum(self.count) - self.count
+
+    def windows(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(text, item, start, end) of the word ranges that may hold a copy.
+
+        Up to each of its words, the best alignment adds no more words than it matches, so it lies
+        within twice the item's words before and behind a seed.
+        """
+        lengths = np.array([len(t) for t in texts], np.int64)
+        # Texts lie so far apart that no window meets two.
+        starts = np.cumsum(lengths + 4 * int(self.lengths.max())) - lengths
+        numbers = np.concatenate(texts)
+        k = self.count[numbers]
+        at = np.repeat(np.arange(len(numbers)), k)
+        seed = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k) + self.first[numbers[at]]
+        text = np.repeat(np.arange(len(texts)), lengths)[at]
+        pos = at - (np.cumsum(lengths) - lengths)[text] + starts[text]
+        item, place = self.item[seed], self.place[seed]
+        order = np.lexsort((pos, item))
+        text, pos, item, place = text[order], pos[order], item[order], place[order]
+        # The last of the seeds that must meet, counted from each hit.
+        last = np.arange(len(pos)) + self.need[item] - 1
+        inside = np.minimum(last, len(pos) - 1)
+        meets = np.flatnonzero((last < len(pos)) & (item[inside] == item) & (pos[inside] - pos < 2 * self.lengths[item]))
+        change = np.zeros(len(pos) + 1, np.int64)
+        np.add.at(change, meets, 1)
+        np.add.at(change, last[meets] + 1, -1)
+        kept = np.flatnonzero(np.cumsum(change[:-1]))
+        text, item, start = text[kept], item[kept], pos[kept] - 2 * place[kept]
+        order = np.lexsort((start, item))
+        text, item, start = text[order], item[order], start[order]
+        width = 2 * self.lengths[item] - 1
+        new = np.r_[True, (item[1:] != item[:-1]) | (start[1:] > start[:-1] + width[1:])] if len(item) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        tail = np.r_[head[1:], len(new)] - 1 if len(head) else head
+        low = np.maximum(start[head] - starts[text[head]], 0)
+        high = np.minimum(start[tail] + width[tail] - starts[text[head]], lengths[text[head]])
+        return list(zip(text[head].tolist(), item[head].tolist(), low.tolist(), high.tolist()))
+
+
+def _candidates(items: Items, seeds: Seeds):
+    def passages(held: list[tuple]) -> pa.RecordBatch:
+        rows = []
+        for t, item, start, end in seeds.windows([numbers for *_, numbers in held]) if held else []:
+            doc_id, key, words, _ = held[t]
+            rows.append((doc_id, key, item, start, b" ".join(words[start:end]).decode("utf-8", "replace")))
+        return table(_PASSAGE, **dict(zip(_PASSAGE.names, map(list, zip(*rows))) if rows else {n: [] for n in _PASSAGE.names}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
+            held, hits = [], 0
             for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), raw_texts(batch)):
                 words = words_of(text)
-                places, found = items.grams(items.numbers(words))
-                if not len(found) or not len(codes):
-                    continue
-                k = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
-                hit = np.flatnonzero(codes[k] == found)
-                hits = [(item, int(places[h]) - place) for h in hit.tolist() for item, place in seeds[int(found[h])]]
-                for item, start, end in windows(hits, items, len(words)):
-                    rows.append((doc_id, key, item, start, b" ".join(words[start:end]).decode("utf-8", "replace")))
-            yield table(_PASSAGE, **dict(zip(_PASSAGE.names, map(list, zip(*rows))) if rows else {n: [] for n in _PASSAGE.names}))
+                numbers = items.numbers(words)
+                own = int(seeds.count[numbers].sum())
+                if own:
+                    held.append((doc_id, key, words, numbers))
+                    hits += own
+                if hits > AT_ONCE:
+                    yield passages(held)
+                    held, hits = [], 0
+            yield passages(held)
 
     return run
 
@@ -238,8 +243,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not block:
             continue
         items = Items([row.text for row in block])
-        counts = texts.select("text").mapInArrow(_gram_counts(items), "gram long, documents long")
-        seeds = _seeds(items, counts)
+        counts = texts.select("text").mapInArrow(_word_counts(items), "word long, times long")
+        times = np.zeros(len(items.vocabulary), np.int64)
+        for row in counts.groupBy("word").agg(F.sum("times").alias("times")).collect():
+            times[row.word] = row.times
+        seeds = Seeds(items, times)
         passages = written(
             texts.mapInArrow(_candidates(items, seeds), "doc_id long, text_key long, item int, start_word long, passage string"), "passages"
         )

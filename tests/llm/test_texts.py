@@ -65,6 +65,25 @@ def test_leaks_match_brute_force_alignment(spark, monkeypatch):
     assert dec.contaminated(d.limit(0), b).count() == 0 and dec.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_copies_without_a_common_trigram_are_found(spark):
+    def item(n, tag):
+        return [f"{tag}{k}" for k in range(n)]
+
+    both = [w for k, word in enumerate(item(30, "a")) for w in (["other", "added"] if k % 5 == 4 else [word])]
+    spread = [w for k, word in enumerate(item(40, "b")) for w in ([word, "added"] if k % 2 else [word])]
+    middle = [*item(5, "c")[:2], "other", *item(5, "c")[3:]]
+    after_each = [w for word in item(20, "d") for w in (word, "added")]
+    few = [w for k, word in enumerate(item(30, "a")) for w in (["other"] if k % 4 == 3 else [word])]
+    texts = [["x"] * 90 + t + ["y"] * 90 for t in (both, spread, middle, after_each, few)]
+    items = [item(30, "a"), item(40, "b"), item(5, "c"), item(20, "d")]
+    want = {(k, i) for k, t in enumerate(texts) for i, w in enumerate(items) if smith_waterman(t, w)[1] >= dec.MIN_SIMILARITY * len(w)}
+    assert {(0, 0), (1, 1), (2, 2), (3, 3)} == want
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    rows = dec.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), min_size=1, max_size=9)), min_size=1, max_size=4))
 def test_alignment_matches_the_textbook(pairs):

@@ -8,7 +8,10 @@ The text around it is aligned with the item by Smith-Waterman.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,14 @@ MEETING = 4
 BLOCK_BYTES = 4 << 20
 # Cells of alignment tables, or seed hits, held at once.
 AT_ONCE = 1 << 20
-_KEEP = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+_KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+# First and last code points of the blocks of scripts written without blanks between words.
+UNSPACED = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007),
+    (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F),
+    (0xAA80, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFD),
+]
+_UNSPACED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED) + "]")
 _COUNT = pa.schema([("word", pa.int64()), ("times", pa.int64())])
 _PASSAGE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item", pa.int32()), ("start_word", pa.int64()), ("passage", pa.string())])
 _SCORED = pa.schema(
@@ -32,11 +42,38 @@ _SCORED = pa.schema(
 )
 
 
+@lru_cache(1 << 16)
+def _part(ch: str) -> str:
+    """What a character beyond ASCII is to words: ``own`` word, ``mark``, ``in`` a word, ``none``, or a blank."""
+    category = unicodedata.category(ch)
+    if category[0] == "M":
+        return "mark"
+    if category[0] in "LN":
+        return "own" if category[0] == "L" and _UNSPACED.match(ch) else "in"
+    # Joiners, soft hyphens and marks of direction are no part of the text; the zero-width space separates.
+    return "none" if category == "Cf" and ch != "\u200b" else " "
+
+
 def words_of(text: bytes | str) -> list[bytes]:
-    """Lower-cased words: runs of letters and digits; ASCII punctuation separates."""
+    """Lower-cased words: runs of letters, marks and digits; in scripts without blanks each letter with its marks."""
     if isinstance(text, bytes):
         text = text.decode("utf-8", "replace")
-    return text.lower().encode("utf-8", "replace").translate(_KEEP).split()
+    text = text.lower()
+    if not text.isascii():
+        own = []
+        for ch in set(text):
+            if ch > "\x7f":
+                part = _part(ch)
+                if part == " ":
+                    text = text.replace(ch, " ")
+                elif part == "none":
+                    text = text.replace(ch, "")
+                elif part == "own":
+                    own.append(ch)
+        if own:
+            marks = "".join(ch for ch in set(text) if ch > "\x7f" and _part(ch) == "mark")
+            text = re.sub(f"([{''.join(own)}]{f'[{marks}]*' if marks else ''})", r" \1 ", text)
+    return text.encode("utf-8", "replace").translate(_KEEP).split()
 
 
 class Items:

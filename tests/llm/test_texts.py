@@ -84,6 +84,24 @@ def test_copies_without_a_common_trigram_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
 
 
+def test_words_follow_unicode():
+    words = lambda text: [w.decode() for w in dec.words_of(text)]
+    assert words("“Paris” is—of\u00a0France… n’est\u2009pas «Ça»") == ["paris", "is", "of", "france", "n", "est", "pas", "ça"]
+    assert words("co\u00adpy e\u0301te\u0301, हिन्दी, 한국어 글") == ["copy", "e\u0301te\u0301", "हिन्दी", "한국어", "글"]
+    assert words("东京2024年、abcは。") == ["东", "京", "2024", "年", "abc", "は"]
+    assert words("ที่นี่") == ["ที่", "นี่"] and words("x_y-z\u3000か\u3099") == ["x", "y", "z", "か\u3099"]
+
+
+def test_copies_are_found_in_any_script(spark):
+    plain = "the capital of France is Paris and its longest river is the Loire of course"
+    chinese = "长江是亚洲第一长河全长六千三百公里"
+    thai = "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
+    texts = ["“" + plain.replace(" ", "\u00a0") + "”", plain.replace(" ", "—"), f"我们知道，{chinese}。这很有名", f"เรารู้ว่า{thai}และอื่นๆ", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate([plain, chinese, thai])), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dec.contaminated(docs, bench).collect()} == {(0, 0), (1, 0), (2, 1), (3, 2)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), min_size=1, max_size=9)), min_size=1, max_size=4))
 def test_alignment_matches_the_textbook(pairs):

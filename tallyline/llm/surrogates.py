@@ -41,16 +41,35 @@ ENDINGS = {
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IPV4 = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])"
-IPV6 = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+# With an IPv4 address as its end, whole, and with "::" for groups of zeros; all hold a digit, so that names such as ``a::b`` stay.
+_MIXED = [rf"(?:{_GROUP}:){{6}}", rf"::(?:{_GROUP}:){{0,5}}", *[rf"(?:{_GROUP}:){{1,{k}}}:(?:{_GROUP}:){{0,{5 - k}}}" for k in range(1, 6)]]
+_SHORT = [*[rf"(?:{_GROUP}:){{1,{k}}}(?::{_GROUP}){{1,{7 - k}}}" for k in range(1, 7)], rf":(?::{_GROUP}){{1,7}}", rf"(?:{_GROUP}:){{1,7}}:"]
+IPV6 = (
+    r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f]{0,4}:)(?=[0-9A-Fa-f:]*[0-9])"
+    rf"(?:(?:{'|'.join(_MIXED)})(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])|(?:{_GROUP}:){{7}}{_GROUP}|{'|'.join(_SHORT)})(?![\p{{L}}\p{{N}}:])"
+)
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|(?:[0-9]{4} ){3}[0-9]{1,7}|(?:[0-9]{4}-){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])"
-PHONE = r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-]?[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+[0-9]{8,15}(?![\p{L}\p{N}])"
+# Between the groups of a telephone number: one blank, dot, dash or slash, or parentheses.
+_GAP = r"[ \x{A0}\x{2009}\x{202F}.\x{2010}-\x{2013}/-]"
+_AHEAD = r"(?<![\p{L}\p{N}+]|[\p{L}\p{N}][.,:/_-])"
+PHONE = "|".join(
+    f"(?:{p})(?![\\p{{L}}\\p{{N}}])"
+    for p in (
+        rf"(?<![\p{{L}}\p{{N}}+])\+[0-9](?:(?:{_GAP}?\(|\){_GAP}?|{_GAP})?[0-9]){{7,14}}",
+        r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-]?[0-9]{4}",
+        # National: a leading zero and no date, or ten digits.
+        rf"{_AHEAD}(?![0-9]{{2}}[./-][0-9]{{2}}[./-](?:19|20)[0-9]{{2}}(?![0-9]))0[0-9](?:{_GAP}?[0-9]){{7,10}}",
+        rf"{_AHEAD}[2-9][0-9]{{4}}{_GAP}?[0-9]{{5}}",
+    )
+)
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PERSON = rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE + EITHER)})\.?\x20{_NAME}(?:\x20{_NAME})?"
 ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, IPV6, IPV4, IBAN, SSN, CARD, PHONE, PERSON))
 # What every entity holds; tested first, as most texts hold none of it.
-_HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]|(?:{'|'.join(FEMALE + MALE + EITHER)})\.?\x20\p{{Lu}}"
+_HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]|::|[0-9]{_GAP}[0-9]|(?:{'|'.join(FEMALE + MALE + EITHER)})\.?\x20\p{{Lu}}"
 
 
 def kind_of(entity: Column) -> Column:
@@ -79,6 +98,45 @@ def _key_of(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit("|"), value)
 
 
+def _hexed(entity: Column) -> Column:
+    """An IPv6 mention in small letters, an IPv4 address at its end as two groups of four digits."""
+    low = F.lower(entity)
+    octets = F.split(F.substring_index(low, ":", -1), r"\.")
+    o = [F.lpad(F.lower(F.hex(F.get(octets, F.lit(k)).try_cast("int"))), 2, "0") for k in range(4)]
+    return F.when(low.contains("."), F.concat(F.regexp_replace(low, "[^:]*$", ""), o[0], o[1], F.lit(":"), o[2], o[3])).otherwise(low)
+
+
+def _sides(hexed: Column) -> tuple[Column, Column]:
+    """The groups before and behind the "::", all of them before if there is none."""
+    behind = F.when(hexed.contains("::"), F.substring_index(hexed, "::", -1)).otherwise("")
+    return tuple(F.filter(F.split(side, ":"), lambda g: g != "") for side in (F.substring_index(hexed, "::", 1), behind))
+
+
+def _expanded(entity: Column) -> Column:
+    """All eight groups of an IPv6 mention with four digits each, so that every way to write an address is one value."""
+    before, behind = _sides(_hexed(entity))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(before) - F.size(behind), F.lit(0)))
+    return F.array_join(F.transform(F.concat(before, zeros, behind), lambda g: F.lpad(g, 4, "0")), ":")
+
+
+def _ipv6_like(entity: Column, new: Column) -> Column:
+    """The eight groups of ``new`` written as the mention is: same "::" and zeros, same ending, same case."""
+    hexed, groups = _hexed(entity), F.split(new, ":")
+    before, behind = _sides(hexed)
+
+    def written_as(side: Column, skipped: Column) -> Column:
+        return F.array_join(F.transform(side, lambda g, i: F.when(g.rlike("^0+$"), g).otherwise(F.get(groups, i + skipped))), ":")
+
+    made = F.concat(
+        written_as(before, F.lit(0)), F.when(hexed.contains("::"), "::").otherwise(""), written_as(behind, F.lit(8) - F.size(behind))
+    )
+    tail = F.right(made, F.lit(9))
+    octets = [F.conv(tail.substr(at, 2), 16, 10) for at in (1, 3, 6, 8)]
+    mixed = F.concat(made.substr(F.lit(1), F.length(made) - 9), F.concat_ws(".", *octets))
+    made = F.when(entity.contains("."), mixed).otherwise(made)
+    return F.when(entity.rlike("[A-F]") & ~entity.rlike("[a-f]"), F.upper(made)).otherwise(made)
+
+
 def parts_of(entity: Column) -> Column:
     """The (kind, canonical value) pairs a mention refers to: one, or each name of a person."""
     kind = kind_of(entity)
@@ -96,7 +154,7 @@ def parts_of(entity: Column) -> Column:
             F.lower(name).alias("value"),
         ),
     )
-    value = F.when(kind.isin("email", "ipv4", "ipv6"), F.lower(entity)).otherwise(F.regexp_replace(F.upper(entity), "[^A-Z0-9]", ""))
+    value = F.when(kind == "ipv6", _expanded(entity)).when(kind.isin("email", "ipv4"), F.lower(entity)).otherwise(F.regexp_replace(F.upper(entity), "[^A-Z0-9]", ""))
     return F.when(kind == "person", persons).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
 
 
@@ -162,7 +220,14 @@ def surrogate(key: str, kind: Column, value: Column, draw: Column) -> Column:
     ipv4 = F.array_join(
         F.transform(F.split(value, r"\."), lambda o, i: F.when((i == 0) & o.isin("10", "127"), o).otherwise((_number(stream, i, 254) + 1).cast("string"))), "."
     )
-    ipv6 = F.array_join(F.transform(F.split(value, ""), lambda ch, i: F.when(ch == ":", ch).otherwise(F.lower(F.hex(_number(stream, i, 16))))), "")
+    # Groups of zeros stay, so that a mention can leave them out.
+    ipv6 = F.array_join(
+        F.transform(
+            F.split(value, ":"),
+            lambda g, i: F.when((g == "0000") & value.rlike("[1-9a-f]"), g).otherwise(F.lower(F.hex(_number(stream, i, 0xF000) + 0x1000))),
+        ),
+        ":",
+    )
     redrawn = _redrawn(F.lower(value), stream)
     iban = F.concat(value.substr(1, 2), F.upper(_redrawn(F.lower(value.substr(F.lit(3), F.length(value))), stream)))
     # A number that passes the Luhn test is replaced by one that does.
@@ -223,7 +288,7 @@ def _render(entity: Column, known: Column) -> Column:
             F.zip_with(new, F.slice(words, 2, F.size(new)), lambda n, w: F.when(w == F.upper(w), F.upper(n)).otherwise(F.initcap(n))), " "
         ),
     )
-    return F.when(kind == "person", person).when(kind == "email", cased).when(kind.isin("ipv4", "ipv6"), first).otherwise(filled)
+    return F.when(kind == "person", person).when(kind == "email", cased).when(kind == "ipv6", _ipv6_like(entity, first)).when(kind == "ipv4", first).otherwise(filled)
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import ipaddress
 import random
 import re
 
@@ -238,6 +239,31 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert replaced(df.limit(0), "key").count() == 0
 
 
+PHONES = [
+    "+44 20 7946 0958", "+44 (0)20 7946 0958", "+33 1 23 45 67 89", "+49 30 1234567", "+34 912 34 56 78", "+91 98765 43210", "01 23 45 67 89", "01.23.45.67.89",
+    "5551234567", "98765 43210", "+1 (017) 555-7713", "020 7946 0958", "+49-30/1234567",
+]
+ADDRESSES = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "::ffff:192.0.2.128", "64:ff9b::192.0.2.33", "2001:db8:1:2:3:4:5:6", "2001:DB8::", "1:2:3:4:5:6:7::"]
+
+
+def test_usual_forms_of_numbers_and_addresses_are_found(spark):
+    rest = ["01.02.2024 10:30", "2024-01-02 10:30:45", "0.1234567890", "std::vector a::b x :: y", "12:30:45", "1700000000", "10 20 30"]
+    rows = [(k, f"At ({t}), {t}.") for k, t in enumerate(PHONES + ADDRESSES + rest)] + [(99, "2001:0DB8:0:0:0:0:0:0001 and 2001:db8::1")]
+    got = {r.doc_id: r for r in replaced(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    for k, t in enumerate(PHONES + ADDRESSES):
+        new = re.fullmatch(r"At \((.*)\), (.*)\.", got[k].text)
+        kind = "phone" if t in PHONES else "ipv6"
+        assert got[k].surrogate_kinds == [kind] * 2 and new[1] == new[2] != t, (t, got[k])
+        if kind == "phone":
+            assert re.sub("[0-9]", "0", new[1]) == re.sub("[0-9]", "0", t)
+        else:
+            assert ipaddress.ip_address(new[1]).version == 6 and ("::" in new[1], "." in new[1]) == ("::" in t, "." in t), (t, new[1])
+    for k, t in enumerate(rest, len(PHONES + ADDRESSES)):
+        assert got[k].text == f"At ({t}), {t}."
+    one, other = got[99].text.split(" and ")
+    assert ipaddress.ip_address(one) == ipaddress.ip_address(other) == ipaddress.ip_address(re.match(r"At \((.*?)\)", got[len(PHONES)].text)[1])
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     from tallyline.llm import surrogates
 

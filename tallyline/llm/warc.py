@@ -10,8 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 CRLF = "\r\n"
-# Elements whose content is no text of the page; they and the head go with everything up to the end tag or the page's end.
+# Elements whose content is no text of the page; they go with everything up to their own end tag or the page's end.
 DROPPED = "script|style|noscript|template"
+# What comes first of a title or text field (stays; nothing in it is markup), a comment and a dropped element.
+_ASIDE = (
+    r"(?is)(<(title|textarea)\b[^>]*>.*?</\2\b[^>]*>)"
+    rf"|<!--(?:-?>|.*?(?:--!?>|\z))|<({DROPPED})\b[^>]*>.*?(?:</\3\b[^>]*>|\z)"
+)
+# A head ends at its end tag, or else before the first text or element that cannot be in one.
+_TAG_REST = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
+_HEAD = (
+    r"(?is)<head(?=[\s/>])" + _TAG_REST + r"(?:\s++|<title\b[^>]*>.*?</title\b[^>]*>|<(?:meta|link|base|basefont|bgsound)\b" + _TAG_REST
+    + r"|<[!?][^>]*+>|</(?!(?:head|body|html|br)\b)[a-z][^>]*+>)*+(?:</head[^>]*>)?"
+)
 # Elements that end a line.
 BREAKING = (
     "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
@@ -24,9 +35,8 @@ _BLANK = r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]"
 
 def plain_text(html: Column) -> Column:
     """The text of a page: comments, scripts and tags go, blocks become lines, references are decoded, blanks collapse."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")
-    text = F.regexp_replace(text, rf"(?is)<(?:{DROPPED})\b[^>]*>.*?(?:</(?:{DROPPED})[^>]*>|\z)", " ")
-    text = F.regexp_replace(text, r"(?is)<head\b[^>]*>.*?(?:</head[^>]*>|\z)", " ")
+    text = F.regexp_replace(html, _ASIDE, "$1 ")
+    text = F.regexp_replace(text, _HEAD, " ")
     text = F.regexp_replace(text, r"[\r\n]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[A-Za-z/!?][^>]*>", "")

@@ -336,6 +336,21 @@ def test_plain_text(spark):
     assert got == ["One & two\nthree\nl\né 1 < 2", "", "", "x", "", "end", "plain"]
 
 
+def test_pages_without_an_end_of_the_head_keep_their_text(spark):
+    pages = {
+        "<html><head><title>T</title><meta content='a > b'><body><p>kept": "kept",
+        "<head><title>T</title><link rel=x><p>kept</p> too": "kept\ntoo",
+        "<head><meta charset=utf-8>kept text": "kept text",
+        "<head><title>T <!-- t</title></head><body>kept": "kept",
+        "<head><style>p{}</style><script>x='<!--'</script></head><body>kept<!-- <script> --> all": "kept all",
+        "<script>s = '</style>'</script>kept<header>h": "kept\nh",
+        "a<!-->b<!-- c --!>d": "a b d",
+        "<head>" + "<meta a=b>\n" * 20000 + "kept": "kept",
+    }
+    df = spark.createDataFrame([(h,) for h in pages], "html string")
+    assert [r.t for r in df.select(plain_text(F.col("html")).alias("t")).collect()] == list(pages.values())
+
+
 def test_records_are_linked_and_true_to_their_digests(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("record_id", F.lit("clash"))
     source = responses(df, "2024-01-01T00:00:00Z")

@@ -7,7 +7,13 @@ their header block and content; written one after another they are a WARC file.
 
 from __future__ import annotations
 
+import html as html_references
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 CRLF = "\r\n"
 # Elements whose content is no text of the page; they go with everything up to their own end tag or the page's end.
@@ -27,12 +33,32 @@ _HEAD = (
 BREAKING = (
     "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
 )
-# Named character references that are decoded, the ampersand last.
+# The references that the SQL twin decodes, the ampersand last; the tables hold no others.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 # Runs of blanks, and single ones that are no space; a single space stays as it is.
 _BLANK = r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]"
 
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][^\t\n\f <&#;]{0,31};?)")
+
+
+@lru_cache(1 << 16)
+def _character(reference: str) -> str:
+    """What a reference stands for by the HTML5 table or its number; blanks and line breaks become spaces, as written ones do."""
+    if reference.startswith("&#"):
+        # More digits than any code point has name none.
+        digits = reference[2:].rstrip(";").lstrip("xX0")
+        if len(digits) > 8:
+            return "\ufffd"
+    return re.sub("[\xa0\n\r]", " ", html_references.unescape(reference))
+
+
+@F.arrow_udf(StringType())
+def decoded(texts: pa.Array) -> pa.Array:
+    """Texts with all numeric and named character references decoded once."""
+    return pa.array([t if t is None or "&" not in t else _REFERENCE.sub(lambda m: _character(m[0]), t) for t in texts.to_pylist()], pa.string())
+
+
 def plain_text(html: Column) -> Column:
     """The text of a page: comments, scripts and tags go, blocks become lines, references are decoded, blanks collapse."""
     text = F.regexp_replace(html, _ASIDE, "$1 ")
@@ -40,9 +66,7 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"[\r\n]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[A-Za-z/!?][^>]*>", "")
-    for name, ch in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(ch))
-    text = F.regexp_replace(text, _BLANK, " ")
+    text = F.regexp_replace(decoded(text), _BLANK, " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.trim(text, F.lit(" \n"))
 

@@ -351,6 +351,16 @@ def test_pages_without_an_end_of_the_head_keep_their_text(spark):
     assert [r.t for r in df.select(plain_text(F.col("html")).alias("t")).collect()] == list(pages.values())
 
 
+def test_all_character_references_are_decoded_once(spark):
+    pages = {
+        "caf&eacute; &mdash; it&#8217;s &#x2014;&hellip; 5 &euro; &#X41;&#66": "café — it’s —… 5 € AB",
+        "&amp;lt; &amp;amp; &lt;b&gt; a&nbsp;&#160;b &copy 1&#10;2 &#128;": "&lt; &amp; <b> a b © 1 2 €",
+        "&unknown; & &; &# AT&T &#xD800; &#" + "9" * 5000 + ";": "&unknown; & &; &# AT&T \ufffd \ufffd",
+    }
+    df = spark.createDataFrame([(h,) for h in [*pages, None]], "html string")
+    assert [r.t for r in df.select(plain_text(F.col("html")).alias("t")).collect()] == [*pages.values(), None]
+
+
 def test_records_are_linked_and_true_to_their_digests(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("record_id", F.lit("clash"))
     source = responses(df, "2024-01-01T00:00:00Z")

@@ -21,7 +21,7 @@ from tallyline.llm.common import id_and_text, slices, table
 # together at most SAMPLE_CHARS characters.
 SAMPLE_ROWS = 64
 SAMPLE_CHARS = 30_000
-# Characters told apart; rarer ones count as one.
+# Characters whose transitions are looked up in a table, the commonest; those of all others are searched for.
 SYMBOLS = 63
 # Texts are parsed in stretches of so many characters, each from the start of a phrase, so that many advance at once.
 STRETCH = 512
@@ -31,8 +31,8 @@ UNDETERMINED = "und"
 _PREDICTION = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Transition table of the smallest automaton of all substrings: row per state, column per symbol, -1 where none."""
+def transitions(symbols: list[int]) -> list[dict[int, int]]:
+    """The smallest automaton of all substrings: next state by symbol for each state."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols:
@@ -58,11 +58,21 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
                     step[p][s] = twin
                     p = link[p]
         last = new
+    return step
+
+
+def tables(step: list[dict[int, int]], n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions by symbols below ``n_symbols`` as a table, row per state and -1 where none; the others as (state, symbol, next) rows."""
     found = np.full((len(step), n_symbols), -1, np.int32)
-    for state, to in enumerate(step):
-        if to:
-            found[state, list(to)] = list(to.values())
-    return found
+    rows = np.array([(state, symbol, to) for state, own in enumerate(step) for symbol, to in own.items()], np.int64).reshape(-1, 3)
+    common = rows[:, 1] < n_symbols
+    found[rows[common, 0], rows[common, 1]] = rows[common, 2]
+    return found, rows[~common]
+
+
+def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
+    """Transition table of the smallest automaton of all substrings: row per state, column per symbol, -1 where none."""
+    return tables(transitions(symbols), n_symbols)[0]
 
 
 class Languages:
@@ -71,25 +81,41 @@ class Languages:
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
         texts = [" ".join(t.lower() for t in samples[name])[:SAMPLE_CHARS] for name in self.names]
-        common = Counter(ch for t in texts for ch in t if ord(ch) < 0x10000).most_common(SYMBOLS)
-        self.symbol = np.full(0x10000, len(common), np.int64)
-        for k, (ch, _) in enumerate(common):
+        ranked = Counter(ch for t in texts for ch in t.encode("utf-32-le", "replace").decode("utf-32-le")).most_common()
+        # Every character of any sample has its number; one number stands for those of none.
+        self.n_all = len(ranked) + 1
+        self.symbol = np.full(0x110000, len(ranked), np.int32)
+        for k, (ch, _) in enumerate(ranked):
             self.symbol[ord(ch)] = k
-        n_symbols = len(common) + 1
-        tables, self.roots, at = [], [], 0
+        # The table's last column stays empty: rarer characters are searched for.
+        self.n_symbols = min(SYMBOLS, len(ranked)) + 1
+        dense, rare, self.roots, at = [], [np.zeros((0, 3), np.int64)], [], 0
         for t in texts:
-            made = suffix_automaton(self.numbers(t).tolist(), n_symbols)
-            tables.append(np.where(made >= 0, made + at, -1).astype(np.int32))
+            made, others = tables(transitions(self.numbers(t).tolist()), self.n_symbols - 1)
+            dense.append(np.pad(np.where(made >= 0, made + at, -1), ((0, 0), (0, 1)), constant_values=-1).astype(np.int32))
+            rare.append(others + [at, 0, at])
             self.roots.append(at)
             at += len(made)
-        self.step = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.n_symbols = n_symbols
+        self.step = np.concatenate(dense).ravel() if dense else np.zeros(0, np.int32)
+        rows = np.concatenate(rare)
+        keys = rows[:, 0] * self.n_all + rows[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], rows[order, 2].astype(np.int32)
         self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
 
     def numbers(self, text: str) -> np.ndarray:
-        """A text's symbols; characters beyond the basic plane count as rare ones."""
-        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        return self.symbol[np.minimum(points, 0xFFFF)]
+        """A text's symbols."""
+        return self.symbol[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+
+    def _next(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The state after a symbol (row) under each language (column), -1 where none."""
+        to = self.step[state * np.int64(self.n_symbols) + np.minimum(symbols, self.n_symbols - 1)[:, None]]
+        rare = np.flatnonzero((symbols >= self.n_symbols - 1) & (symbols < self.n_all - 1))
+        if len(rare) and len(self.keys):
+            key = np.broadcast_to(state, to.shape)[rare] * np.int64(self.n_all) + symbols[rare][:, None]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[rare] = np.where(self.keys[k] == key, self.targets[k], -1)
+        return to
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each lower-cased text (row) under each language (column)."""
@@ -116,14 +142,14 @@ class Languages:
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
         for k in range(int(size[0])):
             n = int(active[k])
-            here = symbols[start[:n] + k][:, None]
-            to = self.step[state[:n] * np.int64(self.n_symbols) + here]
+            here = symbols[start[:n] + k]
+            to = self._next(state[:n], here)
             broken = to < 0
             if k:
                 # A phrase ends before this character: no longer one fits, or the last one was an unseen character, a phrase by itself.
                 counts[:n] += broken | (state[:n] == roots)
             if broken.any():
-                again = self.step[roots * np.int64(self.n_symbols) + here]
+                again = self._next(roots, here)
                 to = np.where(broken, np.where(again >= 0, again, roots), to)
             state[:n] = to
         return counts

@@ -148,6 +148,26 @@ def test_phrases_are_a_greedy_parse():
     assert got.tolist() == [[greedy(t, " ".join(sample[k])) for k in "ab"] for t in texts]
 
 
+def test_every_character_of_a_sample_is_told_apart():
+    rng = random.Random(6)
+    chars = {"one": [chr(0x4E00 + k) for k in range(300)] + ["\U00020001"], "two": [chr(0x4E00 + k) for k in range(200, 500)] + ["\U00020002"]}
+    sample = {name: ["".join(rng.choice(own) for _ in range(2000)) + "abcab"] for name, own in chars.items()}
+    languages = Languages(sample)
+
+    def greedy(text, known):
+        count, at = 0, 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and text[at : end + 1] in known:
+                end += 1
+            count, at = count + 1, end
+        return count
+
+    texts = [sample["one"][0][700:760], sample["two"][0][5:90] + "abc", "\U00020001\U00020002\U00020003", "".join(rng.choice(chars["one"]) for _ in range(80)), "abxcab"]
+    assert languages.phrases(texts).tolist() == [[greedy(t, sample[k][0]) for k in ("one", "two")] for t in texts]
+    assert languages.predict(texts[:2])[0] == ["one", "two"]
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyline.llm.common import id_and_text, slices, table
 
 # The labelled sample: at most SAMPLE_ROWS texts per language, chosen by hashed id, and of these
-# together at most SAMPLE_CHARS characters.
+# together at most SAMPLE_CHARS characters, an equal share of each.
 SAMPLE_ROWS = 64
 SAMPLE_CHARS = 30_000
 # Characters whose transitions are looked up in a table, the commonest; those of all others are searched for.
@@ -75,12 +75,21 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
     return tables(transitions(symbols), n_symbols)[0]
 
 
+def shared_out(texts: list[str], total: int) -> list[str]:
+    """Starts of the texts, at most ``total`` characters with one between two: equal shares, longer texts take what shorter ones leave."""
+    left, cut = total - max(0, len(texts) - 1), [0] * len(texts)
+    for done, k in enumerate(sorted(range(len(texts)), key=lambda k: len(texts[k]))):
+        cut[k] = min(len(texts[k]), max(0, left) // (len(texts) - done))
+        left -= cut[k]
+    return [t[:n] for t, n in zip(texts, cut)]
+
+
 class Languages:
     """Automata of all languages in one transition table, fitted to a sample."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        texts = [" ".join(t.lower() for t in samples[name])[:SAMPLE_CHARS] for name in self.names]
+        texts = [" ".join(shared_out([t.lower() for t in samples[name]], SAMPLE_CHARS)) for name in self.names]
         ranked = Counter(ch for t in texts for ch in t.encode("utf-32-le", "replace").decode("utf-32-le")).most_common()
         # Every character of any sample has its number; one number stands for those of none.
         self.n_all = len(ranked) + 1

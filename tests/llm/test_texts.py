@@ -11,7 +11,7 @@ from reference import base_spans, entropy_spans, smith_waterman
 
 from tallyline.llm import decontamination as dec, secrets
 from tallyline.llm.chat import as_events, digests, escaped, folded, formatted, read_back, rendered, unescaped
-from tallyline.llm.language_id import Languages, identified, suffix_automaton, with_language
+from tallyline.llm.language_id import Languages, identified, shared_out, suffix_automaton, with_language
 from tallyline.llm.surrogates import replaced
 from tallyline.llm.warc import derivatives, plain_text, responses, write_warc
 
@@ -148,6 +148,13 @@ def test_phrases_are_a_greedy_parse():
     assert got.tolist() == [[greedy(t, " ".join(sample[k])) for k in "ab"] for t in texts]
 
 
+def test_each_text_of_a_sample_has_its_share():
+    assert list(map(len, shared_out(["a" * 100_000, "b" * 10, "c" * 500, "d" * 300], 1003))) == [345, 10, 345, 300]
+    assert shared_out(["ab", "c"], 100) == ["ab", "c"] and shared_out([], 9) == []
+    languages = Languages({"x": ["0" * 200_000, "hello world and all"], "y": ["nothing like it"]})
+    assert languages.predict(["hello world"])[0] == ["x"]
+
+
 def test_every_character_of_a_sample_is_told_apart():
     rng = random.Random(6)
     chars = {"one": [chr(0x4E00 + k) for k in range(300)] + ["\U00020001"], "two": [chr(0x4E00 + k) for k in range(200, 500)] + ["\U00020002"]}

@@ -13,6 +13,8 @@ from tallyline.session import scratch_path
 
 # Texts handled at once inside a task, in bytes; a single longer text is handled alone.
 SLICE_BYTES = 4 << 20
+# Keys with at least one part in so many of all rows are sent to every task instead of being shuffled; there are no more of them than this.
+HOT_SHARE = 1000
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -30,6 +32,24 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def joined_by_share(rows: DataFrame, groups: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """``rows`` with the columns of ``groups``, one row per key, where a few keys may hold most rows.
+
+    ``count`` says how many rows a key has (it is not returned). Keys with at least one HOT_SHARE-th of all rows
+    are HOT_SHARE at most and go to every task; all others are joined by a shuffle, in which no
+    key has more than that share. Null keys are equal to each other. Rows without a group are dropped.
+    """
+    groups = groups.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = (F.col(count) * HOT_SHARE >= total) & (F.lit(total) > 0)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    away = [f"_{k}" for k in keys] + [count]
+    few = F.broadcast(groups.filter(hot).withColumn("_hot", F.lit(True)))
+    met = rows.join(few, same, "left")
+    left = met.filter("_hot IS NULL").select(*rows.columns)
+    return met.filter("_hot").drop("_hot", *away).unionByName(left.join(groups.filter(~hot), same).drop(*away))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Document id and whole text under fixed names; a null text is empty. Other columns do not matter."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

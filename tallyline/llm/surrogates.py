@@ -10,10 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyline.llm.common import written
+from tallyline.llm.common import joined_by_share, written
 
-# How many ways one entity's mentions are dealt, so that an entity of very many documents does not meet in one task.
-SALTS = 32
 # Draws before the job gives up; more can only be needed if a kind's values are nearly used up.
 MAX_DRAWS = 64
 
@@ -94,68 +92,57 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _key_of(kind: Column, value: Column) -> Column:
-    return F.concat(kind, F.lit("|"), value)
-
-
 def _hexed(entity: Column) -> Column:
     """An IPv6 mention in small letters, an IPv4 address at its end as two groups of four digits."""
     low = F.lower(entity)
-    octets = F.split(F.substring_index(low, ":", -1), r"\.")
-    o = [F.lpad(F.lower(F.hex(F.get(octets, F.lit(k)).try_cast("int"))), 2, "0") for k in range(4)]
-    return F.when(low.contains("."), F.concat(F.regexp_replace(low, "[^:]*$", ""), o[0], o[1], F.lit(":"), o[2], o[3])).otherwise(low)
+    octets = F.transform(F.split(F.substring_index(low, ":", -1), r"\."), lambda o: F.lpad(F.lower(F.hex(o.try_cast("int"))), 2, "0"))
+    tail = F.concat(F.array_join(F.slice(octets, 1, 2), ""), F.lit(":"), F.array_join(F.slice(octets, 3, 2), ""))
+    return F.when(low.contains("."), F.concat(F.regexp_replace(low, "[^:]*$", ""), tail)).otherwise(low)
 
 
-def _sides(hexed: Column) -> tuple[Column, Column]:
-    """The groups before and behind the "::", all of them before if there is none."""
-    behind = F.when(hexed.contains("::"), F.substring_index(hexed, "::", -1)).otherwise("")
-    return tuple(F.filter(F.split(side, ":"), lambda g: g != "") for side in (F.substring_index(hexed, "::", 1), behind))
-
-
-def _expanded(entity: Column) -> Column:
-    """All eight groups of an IPv6 mention with four digits each, so that every way to write an address is one value."""
-    before, behind = _sides(_hexed(entity))
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(before) - F.size(behind), F.lit(0)))
-    return F.array_join(F.transform(F.concat(before, zeros, behind), lambda g: F.lpad(g, 4, "0")), ":")
-
+def _groups(side: Column) -> Column:
+    return F.filter(F.split(side, ":"), lambda g: g != "")
 
-def _ipv6_like(entity: Column, new: Column) -> Column:
-    """The eight groups of ``new`` written as the mention is: same "::" and zeros, same ending, same case."""
-    hexed, groups = _hexed(entity), F.split(new, ":")
-    before, behind = _sides(hexed)
 
-    def written_as(side: Column, skipped: Column) -> Column:
-        return F.array_join(F.transform(side, lambda g, i: F.when(g.rlike("^0+$"), g).otherwise(F.get(groups, i + skipped))), ":")
+def with_address(mentions: DataFrame) -> DataFrame:
+    """Adds the parts of an IPv6 mention: ``hexed``, and the groups ``before`` and ``behind`` the "::", all of them before if there is none.
 
-    made = F.concat(
-        written_as(before, F.lit(0)), F.when(hexed.contains("::"), "::").otherwise(""), written_as(behind, F.lit(8) - F.size(behind))
+    Each is a column of its own, so that what uses it several times does not repeat its expression.
+    """
+    hexed = F.col("hexed")
+    behind = F.when(hexed.contains("::"), F.substring_index(hexed, "::", -1)).otherwise("")
+    return mentions.withColumn("hexed", F.when(F.col("kind") == "ipv6", _hexed(F.col("mention")))).withColumns(
+        {"before": _groups(F.substring_index(hexed, "::", 1)), "behind": _groups(behind)}
     )
-    tail = F.right(made, F.lit(9))
-    octets = [F.conv(tail.substr(at, 2), 16, 10) for at in (1, 3, 6, 8)]
-    mixed = F.concat(made.substr(F.lit(1), F.length(made) - 9), F.concat_ws(".", *octets))
-    made = F.when(entity.contains("."), mixed).otherwise(made)
-    return F.when(entity.rlike("[A-F]") & ~entity.rlike("[a-f]"), F.upper(made)).otherwise(made)
 
 
-def parts_of(entity: Column) -> Column:
-    """The (kind, canonical value) pairs a mention refers to: one, or each name of a person."""
-    kind = kind_of(entity)
-    words = F.split(entity, " ")
+def with_parts(mentions: DataFrame) -> DataFrame:
+    """Adds ``parts``, the (kind, canonical value) pairs a mention refers to: one, or each name of a person."""
+    mention, kind, words = F.col("mention"), F.col("kind"), F.col("words")
     title = F.rtrim(F.element_at(words, 1), F.lit("."))
     gender = F.when(title.isin(FEMALE), "_female").when(title.isin(MALE), "_male").otherwise("")
+    before, behind = F.col("before"), F.col("behind")
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(before) - F.size(behind), F.lit(0)))
+    # All eight groups with four digits each, so that every way to write an address is one value.
+    address = F.array_join(F.transform(F.concat(before, zeros, behind), lambda g: F.lpad(g, 4, "0")), ":")
+    value = (
+        F.when(kind == "ipv6", address).when(kind.isin("email", "ipv4"), F.lower(mention))
+        .otherwise(F.regexp_replace(F.upper(mention), "[^A-Z0-9]", ""))
+    )
     names = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     persons = F.transform(
-        names,
+        F.col("names"),
         lambda name, i: F.struct(
             # Latin family names have one form, so a name is the same person's with and without a title that tells the gender.
-            F.when(i < F.size(names) - 1, F.concat(F.lit("given"), gender))
-            .otherwise(F.concat(F.lit("family"), F.when(_script(name) == "latin", "").otherwise(gender)))
+            F.when(i < F.size("names") - 1, F.concat(F.lit("given"), F.col("gender")))
+            .otherwise(F.concat(F.lit("family"), F.when(_script(name) == "latin", "").otherwise(F.col("gender"))))
             .alias("kind"),
             F.lower(name).alias("value"),
         ),
     )
-    value = F.when(kind == "ipv6", _expanded(entity)).when(kind.isin("email", "ipv4"), F.lower(entity)).otherwise(F.regexp_replace(F.upper(entity), "[^A-Z0-9]", ""))
-    return F.when(kind == "person", persons).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
+    parted = with_address(mentions).withColumn("words", F.split(mention, " ")).withColumns({"names": names, "gender": gender, "value": value})
+    parts = F.when(kind == "person", persons).otherwise(F.array(F.struct(kind.alias("kind"), F.col("value").alias("value"))))
+    return parted.select(*mentions.columns, parts.alias("parts"))
 
 
 def _stream(key: str, kind: Column, value: Column, draw: Column) -> Column:
@@ -259,20 +246,16 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("surrogates of some kind are used up")
 
 
-def _render(entity: Column, known: Column) -> Column:
-    """A mention's replacement in the mention's own format."""
-    kind = kind_of(entity)
-    parts = parts_of(entity)
-    new = F.transform(parts, lambda p: F.element_at(known, _key_of(p["kind"], p["value"])))
-    first = F.element_at(new, 1)
+def with_replacement(mentions: DataFrame) -> DataFrame:
+    """Adds ``replacement``, a mention's surrogates ``new`` written in the mention's own format."""
+    mention, kind, new, first, marks = (F.col(c) for c in ("mention", "kind", "new", "first", "marks"))
+    bound = with_address(mentions).withColumns({"first": F.element_at(new, 1), "marks": F.split(mention, ""), "words": F.split(mention, " ")})
     # Letters and digits of the surrogate go where the mention has letters and digits.
-    marks = F.split(entity, "")
     filled = F.array_join(
         F.transform(
             marks,
             lambda ch, i: F.when(
-                ch.rlike("[A-Za-z0-9]"),
-                first.substr(F.length(F.regexp_replace(entity.substr(F.lit(1), i + 1), "[^A-Za-z0-9]", "")), F.lit(1)),
+                ch.rlike("[A-Za-z0-9]"), first.substr(F.length(F.regexp_replace(mention.substr(F.lit(1), i + 1), "[^A-Za-z0-9]", "")), F.lit(1))
             ).otherwise(ch),
         ),
         "",
@@ -280,7 +263,7 @@ def _render(entity: Column, known: Column) -> Column:
     cased = F.array_join(
         F.transform(marks, lambda ch, i: F.when(ch.rlike(r"\p{Lu}"), F.upper(first.substr(i + 1, F.lit(1)))).otherwise(first.substr(i + 1, F.lit(1)))), ""
     )
-    words = F.split(entity, " ")
+    words = F.col("words")
     person = F.concat_ws(
         " ",
         F.element_at(words, 1),
@@ -288,47 +271,77 @@ def _render(entity: Column, known: Column) -> Column:
             F.zip_with(new, F.slice(words, 2, F.size(new)), lambda n, w: F.when(w == F.upper(w), F.upper(n)).otherwise(F.initcap(n))), " "
         ),
     )
-    return F.when(kind == "person", person).when(kind == "email", cased).when(kind == "ipv6", _ipv6_like(entity, first)).when(kind == "ipv4", first).otherwise(filled)
+
+    def written_as(side: Column, skipped: Column) -> Column:
+        groups = F.split(first, ":")
+        return F.array_join(F.transform(side, lambda g, i: F.when(g.rlike("^0+$"), g).otherwise(F.get(groups, i + skipped))), ":")
+
+    # An IPv6 address keeps its "::" and zeros, its kind of ending and its case.
+    address = F.concat(
+        written_as(F.col("before"), F.lit(0)),
+        F.when(F.col("hexed").contains("::"), "::").otherwise(""),
+        written_as(F.col("behind"), F.lit(8) - F.size("behind")),
+    )
+    tail = F.right(F.col("address"), F.lit(9))
+    octets = [F.conv(tail.substr(at, 2), 16, 10) for at in (1, 3, 6, 8)]
+    mixed = F.concat(F.col("address").substr(F.lit(1), F.length("address") - 9), F.concat_ws(".", *octets))
+    shaped = (
+        bound.withColumn("address", F.when(kind == "ipv6", address))
+        .withColumn("address", F.when(mention.contains("."), mixed).otherwise(F.col("address")))
+        .withColumn("address", F.when(mention.rlike("[A-F]") & ~mention.rlike("[a-f]"), F.upper("address")).otherwise(F.col("address")))
+    )
+    replacement = F.when(kind == "person", person).when(kind == "email", cased).when(kind == "ipv6", F.col("address")).when(kind == "ipv4", first).otherwise(filled)
+    return shaped.select(*mentions.columns, replacement.alias("replacement"))
+
+
+def replacements(mentions: DataFrame, key: str) -> DataFrame:
+    """(mention, n, kind, replacement) for distinct mentions and how often each occurs.
+
+    Every step is written, so a mention's kind, canonical value, surrogates and new text are each
+    worked out once, and no expression holds another one several times.
+    """
+    kinds = written(mentions.withColumn("kind", kind_of(F.col("mention"))), "mention-kinds")
+    parts = written(with_parts(kinds).select("mention", F.posexplode("parts").alias("place", "part")).select("mention", "place", "part.*"), "mention-parts")
+    found = distinct_surrogates(parts.select("kind", "value"), key)
+    new = (
+        parts.join(found, ["kind", "value"])
+        .groupBy("mention")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "surrogate"))), lambda x: x["surrogate"]).alias("new"))
+    )
+    return written(with_replacement(written(kinds.join(new, "mention"), "new-mentions")).select("mention", "n", "kind", "replacement"), "replacements")
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """The documents with all their columns, personal data in ``text`` replaced, and ``surrogate_kinds`` (kinds, one per mention).
 
-    Whole texts are read. Null and empty texts stay as they are. Every input row gives one row;
-    rows with null or repeated ids are told apart by their text. Equal entities get equal
-    surrogates in all documents, different ones different surrogates; without any entity the
-    texts do not change. An existing column named surrogate_kinds is replaced.
+    Whole texts are read, and matched once: the mentions are written next to the documents. Null
+    and empty texts stay as they are. Every input row gives one row, whatever its id. Equal
+    entities get equal surrogates in all documents, different ones different surrogates; without
+    any entity the texts do not change. An existing column named surrogate_kinds is replaced.
     """
-    text = F.col("text")
-    likely = text.isNotNull() & text.rlike(_HINT)
-    mentions = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    hit = F.coalesce(likely & text.rlike(ENTITY), F.lit(False))
-    with_any = docs.filter(hit)
-    text_key = F.sha2(text, 256)
-    named = (
-        with_any.select(text_key.alias("text_key"), mentions.alias("m"))
-        .select("text_key", F.explode(F.array_distinct(F.flatten(F.transform("m", parts_of)))).alias("p"))
-        .select("text_key", "p.kind", "p.value")
+    columns = [c for c in docs.columns if c != "surrogate_kinds"]
+    text = docs["text"]
+    found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
+    scanned = written(
+        docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), found.alias("mentions"), F.monotonically_increasing_id().alias("row_number")), "scanned"
     )
-    named = written(named, "mentions")
-    found = distinct_surrogates(named, key)
-    # One entity may be in a large share of all texts: its mentions are dealt over SALTS copies of its row.
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = named.distinct().withColumn("salt", F.pmod(F.xxhash64("text_key"), F.lit(SALTS)).cast("int"))
-    maps = (
-        dealt.join(salted, ["kind", "value", "salt"])
-        .groupBy("text_key")
-        .agg(F.map_from_entries(F.collect_list(F.struct(_key_of(F.col("kind"), F.col("value")).alias("k"), F.col("surrogate").alias("v")))).alias("known"))
+    hit = F.coalesce(F.size("mentions") > 0, F.lit(False))
+    with_any = scanned.filter(hit)
+    places = with_any.select("row_number", F.posexplode("mentions").alias("place", "mention"))
+    # A mention may be in a large share of all texts: it is counted before it is joined.
+    known = replacements(places.groupBy("mention").agg(F.count("*").alias("n")), key)
+    new = (
+        joined_by_share(places, known, ["mention"])
+        .groupBy("row_number")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "replacement", "kind"))).alias("new"))
     )
-    rest = [c for c in docs.columns if c not in ("text", "surrogate_kinds")]
-    packed = with_any.select(F.struct(*[docs[c] for c in rest]).alias("rest") if rest else F.lit(None).alias("rest"), "text", text_key.alias("text_key"))
-    joined = packed.join(maps, "text_key").select("rest", "text", "known", mentions.alias("m"), F.split(text, ENTITY, -1).alias("gaps"))
-    new = F.transform("m", lambda e: _render(e, F.col("known")))
+    pieces = with_any.withColumn("gaps", F.split(F.col("row.text"), ENTITY, -1)).join(new, "row_number")
     whole = F.concat(
-        F.array_join(F.zip_with(new, F.slice("gaps", 1, F.size("m")), lambda n, g: F.concat(g, n)), ""), F.element_at(F.col("gaps"), -1)
+        F.array_join(F.zip_with("new", F.slice("gaps", 1, F.size("new")), lambda n, g: F.concat(g, n["replacement"])), ""), F.element_at(F.col("gaps"), -1)
+    )
+    changed = pieces.select(
+        *[whole.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns],
+        F.transform("new", lambda n: n["kind"]).alias("surrogate_kinds"),
     )
-    changed = joined.select("rest", whole.alias("text"), F.transform("m", kind_of).alias("surrogate_kinds"))
-    columns = [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c != "surrogate_kinds"]
-    unchanged = docs.filter(~hit).withColumn("surrogate_kinds", F.array().cast("array<string>"))
-    order = [c for c in docs.columns if c != "surrogate_kinds"] + ["surrogate_kinds"]
-    return changed.select(*columns, "surrogate_kinds").unionByName(unchanged.select(order))
+    unchanged = scanned.filter(~hit).select(*[F.col("row").getField(c).alias(c) for c in columns], F.array().cast("array<string>").alias("surrogate_kinds"))
+    return changed.unionByName(unchanged)

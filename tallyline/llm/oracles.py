@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallyline.llm.warc import BREAKING, DROPPED, ENTITIES
+from tallyline.llm.vector_codes import ENTRIES, PARTS, ROUNDS
+from tallyline.llm.warc import BREAKING, DROPPED, ENTITIES as REFERENCES
 
 _VECTORS = """
 WITH RECURSIVE v AS (
@@ -58,7 +59,7 @@ def _text_sql() -> str:
     out = rf"regexp_replace({out}, '[\r\n]+', ' ', 'g')"
     out = rf"regexp_replace({out}, '(?i)</?(?:{BREAKING})\b[^>]*>', chr(10), 'g')"
     out = rf"regexp_replace({out}, '<[A-Za-z/!?][^>]*>', '', 'g')"
-    for name, ch in ENTITIES:
+    for name, ch in REFERENCES:
         quoted = ch.replace("'", "''")
         out = f"replace({out}, '{name}', '{quoted}')"
     out = rf"regexp_replace({out}, '[ \t\x0B\f\r]+', ' ', 'g')"
@@ -103,4 +104,60 @@ SELECT page_id, record_type, record_id, refers_to, target_uri, source_digest,
 FROM records
 """
 
-LLM_ORACLES = {"op2_vector_dedup": _VECTORS, "op3_chat_format": _CHAT, "op10_warc_derivatives": _WARC}
+_EXACT = r"""
+WITH t AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
+), g AS (
+    SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm
+)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
+FROM t JOIN g ON t.norm = g.norm
+"""
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """Lloyd's rounds with every part against every entry; distances are whole numbers below 2^53."""
+    steps = [f"""
+WITH v AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), p AS MATERIALIZED (
+    SELECT vec_id, part, list_slice(q, part * (len(q) // {parts}) + 1, (part + 1) * (len(q) // {parts})) AS c FROM v, range({parts}) t(part)
+), book0 AS MATERIALIZED (
+    SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, c FROM p
+    QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries}
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+    SELECT p.vec_id, p.part, any_value(p.c) AS c,
+           min({{'away': list_inner_product(p.c, p.c) - 2 * list_inner_product(p.c, b.c) + list_inner_product(b.c, b.c), 'entry': b.entry}}) AS best
+    FROM p JOIN book{k} b USING (part) GROUP BY p.vec_id, p.part
+)""")
+        if k < rounds:
+            steps.append(f"""moved{k} AS (
+    SELECT part, entry, list(x ORDER BY i) AS c FROM (
+        SELECT part, best.entry AS entry, i, floor(sum(c[i]) / count(*)) AS x FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM near{k}) GROUP BY ALL
+    ) GROUP BY part, entry
+), book{k + 1} AS MATERIALIZED (
+    SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN moved{k} m USING (part, entry)
+)""")
+    return ",\n".join(steps) + f"""
+, coded AS (
+    SELECT vec_id, string_agg(printf('%02x', CAST(best.entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best.away) AS BIGINT) AS error
+    FROM near{rounds} GROUP BY vec_id
+), books AS (
+    SELECT sha256(coalesce(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i), '')) AS codebooks_sha256
+    FROM (SELECT part, entry, unnest(c) AS x, unnest(range(1, len(c) + 1)) AS i FROM book{rounds})
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), books
+"""
+
+
+LLM_ORACLES = {
+    "op2_vector_dedup": _VECTORS,
+    "op3_chat_format": _CHAT,
+    "op10_warc_derivatives": _WARC,
+    "op11_exact_dedup": _EXACT,
+    "op13_vector_codes": _codes_sql(PARTS, ENTRIES, ROUNDS),
+}

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyline.llm.chat import digests, formatted
 from tallyline.llm.common import written
+from tallyline.llm.conversation_repair import repairs
 from tallyline.llm.decontamination import contaminated
+from tallyline.llm.exact_dedup import exact_groups
 from tallyline.llm.oracles import LLM_ORACLES
 from tallyline.llm.language_id import identified
 from tallyline.llm.packing import pack
@@ -17,6 +19,7 @@ from tallyline.llm.secrets import secrets_found
 from tallyline.llm.simhash import simhash_groups
 from tallyline.llm.token_files import token_index, write_token_files
 from tallyline.llm.surrogates import replaced
+from tallyline.llm.vector_codes import vector_codes
 from tallyline.llm.vector_dedup import near_vectors
 from tallyline.llm.warc import derivatives, responses
 from tallyline.session import scratch_path
@@ -89,6 +92,21 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_documents(spark, sf_dir))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document."""
+    return exact_groups(_documents(spark, sf_dir))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage."""
+    return repairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every embedding."""
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_vector_dedup": op2_vector_dedup,
@@ -100,5 +118,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]

@@ -12,6 +12,7 @@ from reference import base_spans, entropy_spans, smith_waterman
 from tallyline.llm import decontamination as dec, secrets
 from tallyline.llm.chat import as_events, digests, escaped, folded, formatted, read_back, rendered, unescaped
 from tallyline.llm.language_id import Languages, identified, shared_out, suffix_automaton, with_language
+from tallyline.llm.oracles import LLM_ORACLES
 from tallyline.llm.surrogates import replaced
 from tallyline.llm.warc import derivatives, plain_text, responses, write_warc
 
@@ -411,11 +412,11 @@ def test_records_are_linked_and_true_to_their_digests(spark, tmp_path):
     assert derivatives(source.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_vector_dedup", "op3_chat_format", "op10_warc_derivatives"])
+@pytest.mark.parametrize("name", sorted(LLM_ORACLES))
 def test_queries_match_their_twins(spark, name):
     from oracle_compare import connect, difference
 
-    from tallyline.llm.queries import LLM_ORACLES, LLM_QUERIES
+    from tallyline.llm.queries import LLM_QUERIES
 
     sf = "/root/testdata/sf0.001"
     assert difference(LLM_QUERIES[name](spark, sf), connect(sf), LLM_ORACLES[name]) is None

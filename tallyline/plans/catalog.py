@@ -23,6 +23,7 @@ from tallyline.operators.typed import TRANSFORMATION_RULE, typed_lines
 from tallyline.plans import delivery_views as dv
 from tallyline.plans import retail_views as rv
 from tallyline.plans import run_views as runs_v
+from tallyline.plans.stored_queries import STORED_QUERIES
 from tallyline.schemas import CONSUMER_STATUSES, LOCATION, SCOPES
 from tallyline.session import scratch_path
 from tallyline.streaming.ledger_stream import Ledger, consume_available, ledger_snapshot
@@ -794,3 +795,6 @@ def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot's attempts, in the order they became durable."""
     attempts = ledger_snapshot(_consumed(spark, sf_dir))["attempts"]
     return attempts.select("topic", "partition", "kafka_offset", "event_id", "payload_sha256", "disposition")
+
+
+QUERIES |= STORED_QUERIES

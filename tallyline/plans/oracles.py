@@ -685,3 +685,6 @@ ORACLES: dict[str, str] = {
         FROM disp WHERE disposition = 'accepted'""",
     ),
 }
+
+# The same answer from an index by event id.
+ORACLES["dispositions_by_index"] = ORACLES["dispositions_after_ledger"]

@@ -166,3 +166,21 @@ MARKERS = _struct(
     ("cluster_id", _S),
     ("group_id", _S),
 )
+
+# Generations of the index of accepted events: batches from low_seq to high_seq.
+GENERATIONS = _struct(
+    ("generation", _S),
+    ("level", _I),
+    ("buckets", _I),
+    ("events", _L),
+    ("low_seq", _L),
+    ("high_seq", _L),
+)
+
+KNOWN_EVENTS = _struct(
+    ("event_id", _S),
+    ("topic", _S),
+    ("partition", _I),
+    ("payload_sha256", _S),
+    ("bucket", _I),
+)

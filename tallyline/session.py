@@ -16,6 +16,8 @@ JOB_SETTINGS = {
     "spark.sql.sources.fileCompressionFactor": "4",
     # Rewriting one run's partition must leave the other runs alone.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Lists of ids up to this long reach the Parquet reader, where Bloom filters decide.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "256",
     # A repeated key in an event payload keeps its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

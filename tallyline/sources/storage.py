@@ -32,3 +32,9 @@ def append(df: DataFrame, path: str, *partition_by: str) -> None:
 def replace_partitions(df: DataFrame, path: str, *partition_by: str) -> None:
     """Write the partitions ``df`` holds and leave all others alone."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no reader is told of any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -26,6 +26,7 @@ from tallyline.operators.publish import run_state
 from tallyline.schemas import ATTEMPTS, MARKERS, RUN_EVENTS
 from tallyline.sources.storage import append_rows, read_or_empty
 from tallyline.sources.streams import BATCH_OFFSETS
+from tallyline.streaming.event_index import FAN, EventIndex
 
 @dataclass(frozen=True)
 class Ledger:
@@ -57,6 +58,34 @@ class Ledger:
     def events(self) -> DataFrame:
         return led.accepted_events(self.attempts)
 
+    @property
+    def index(self) -> EventIndex:
+        return EventIndex(self.spark, f"{self.root}/event_index")
+
+    def _accepted_of(self, marks: list) -> DataFrame:
+        """Accepted attempts of marked batches that the caller names, read from their own folders."""
+        runs, batches = sorted({m.run_id for m in marks}), sorted({m.batch_id for m in marks})
+        own = self.written.filter(F.col("run_id").isin(runs) & F.col("batch_id").isin(batches) & (F.col("disposition") == "accepted"))
+        stops = self.spark.createDataFrame(marks, MARKERS).select("run_id", "batch_id", "topic", "partition", "stop_offset")
+        return (
+            own.join(stops, ["run_id", "batch_id", "topic", "partition"])
+            .filter("stop_offset IS NULL OR kafka_offset <= stop_offset")
+            .select("event_id", "topic", "partition", "payload_sha256")
+        )
+
+    def known_events(self, ids: DataFrame) -> DataFrame:
+        """Accepted events that may be among ``ids``: of the index, and of the batches it does not hold yet.
+
+        Batches enter the index FAN at a time; until then they are few and read by name.
+        """
+        marks = self.markers.filter(F.col("batch_seq") > self.index.covered_seq()).orderBy("batch_seq").collect()
+        seqs = sorted({m.batch_seq for m in marks})
+        while len(seqs) >= FAN:
+            own, seqs = seqs[:FAN], seqs[FAN:]
+            self.index.add(self._accepted_of([m for m in marks if m.batch_seq in own]), own[0], own[-1])
+        known = self.index.known(ids)
+        return known.unionByName(self._accepted_of([m for m in marks if m.batch_seq in seqs])) if seqs else known
+
     @property
     def run_events(self) -> DataFrame:
         return read_or_empty(self.spark, f"{self.root}/run_events", RUN_EVENTS)
@@ -151,10 +180,8 @@ def write_ledger_batch(
 
     ``origins`` tells the cluster and group of each stream partition, for its marker.
     """
-    known = ledger.events.withColumnsRenamed({"first_topic": "topic", "first_partition": "partition"}).select(
-        "event_id", "topic", "partition", "payload_sha256"
-    )
     decoded = decode_events(batch).withColumnRenamed("reason", "_invalid")
+    known = ledger.known_events(decoded.filter("_invalid IS NULL").select("event_id"))
     # An invalid payload has no event id to be classified by; it keeps its row and reason.
     # Repeated positions are refused below, from what was written.
     classified = led.classify(decoded.filter("_invalid IS NULL"), known, unique_positions=True)

@@ -84,7 +84,7 @@ def _cut_pieces(tokenizer_path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in slices(batches):
-            ids, lengths = encoder(tokenizer_path).encode(batch.column("text").to_pylist())
+            ids, lengths = encoder(tokenizer_path).encode(batch.column("text"))
             rows, at = [], 0
             for doc_id, n in zip(batch.column("doc_id").to_pylist(), lengths.tolist()):
                 for k, (start, length) in enumerate(cut(n, capacity)):

@@ -23,7 +23,7 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(64 << 20),
     "orc.create.index": "true",
     "orc.row.index.stride": "2000",
-    "orc.compress": "ZLIB",
+    "orc.compress": "LZ4",
 }
 _FILE = pa.schema(
     [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_before", pa.int64()), ("token_ids", pa.list_(pa.int32()))]
@@ -37,7 +37,7 @@ def _encode(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in slices(batches):
-            ids, lengths = encoder(tokenizer_path).encode(batch.column("text").to_pylist())
+            ids, lengths = encoder(tokenizer_path).encode(batch.column("text"))
             ends = np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -8,6 +8,8 @@ from itertools import chain
 from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # Words kept per Python worker before the table starts anew; bounds its memory, changes no result.
@@ -16,9 +18,15 @@ END_ID = 2
 # The pattern that byte-level BPE cuts texts by, and how its vocabulary shows bytes:
 # printable Latin-1 characters as themselves, the others as the characters from 256 on, in order.
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_LINE_AND_BLANK = regex.compile(r"\n\s")
+# A line end before white space, which is any character that some reader takes for it.
+_LINE_AND_BLANK = r"\n[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _AS_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-BYTES_AS_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _AS_SHOWN) if b}
+# The character of each byte; byte 0 parts pieces and occurs in none.
+BYTES_AS_SHOWN = np.arange(256, dtype="<u4")
+BYTES_AS_SHOWN[[b for b in range(256) if b not in _AS_SHOWN]] = 256 + np.arange(256 - len(_AS_SHOWN))
+BYTES_AS_SHOWN[0] = 0
+# New words that are looked at together.
+_LOT = 4096
 
 
 class _Words(dict):
@@ -86,7 +94,7 @@ class Encoder:
     def _learn_pieces(self) -> None:
         new, self.pieces.new = self.pieces.new, []
         if new:
-            shown = "\x00".join(new).encode().decode("latin-1").translate(BYTES_AS_SHOWN).split("\x00")
+            shown = BYTES_AS_SHOWN[np.frombuffer("\x00".join(new).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\x00")
             found = [[token.id for token in self.tokenizer.model.tokenize(piece)] for piece in shown]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             self.piece_ids.add(np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths)
@@ -96,7 +104,7 @@ class Encoder:
         new, self.words.new = self.words.new, []
         if not new:
             return
-        plain = np.array([self.by_words and self._is_plain(word) for word in new])
+        plain = np.concatenate([self._plain(new[k : k + _LOT]) for k in range(0, len(new), _LOT)])
         own = [word for word, ok in zip(new, plain) if ok]
         found = [np.array(self._ids(word), np.int32) for word, ok in zip(new, plain) if not ok]
         lengths = np.zeros(len(new), np.int64)
@@ -117,6 +125,17 @@ class Encoder:
         flat[~order] = np.concatenate(found) if found else by_piece[:0]
         self.word_ids.add(flat, lengths)
 
+    def _plain(self, words: list[str]) -> np.ndarray:
+        """Which words are one run of non-blanks behind at most one blank; mostly all are, which is told at once."""
+        if not self.by_words:
+            return np.zeros(len(words), bool)
+        joined = "\n" + "\n".join(words)
+        runs = joined.split()
+        all_plain = len(runs) == len(words) and joined.replace("\n ", "\n") == "\n" + "\n".join(runs)
+        if all_plain and "\0" not in joined and not any(special in joined for special in self.special):
+            return np.ones(len(words), bool)
+        return np.array([self._is_plain(word) for word in words])
+
     def _is_plain(self, word: str) -> bool:
         parts = word.split()
         return len(parts) == 1 and word in (parts[0], " " + parts[0]) and "\0" not in word and not any(special in word for special in self.special)
@@ -124,31 +143,50 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def encode(self, texts: list[str], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.array(itemgetter(*words)(self.words) if len(words) > 1 else [self.words[w] for w in words], np.int64)
+
+    def encode(self, texts: list[str] | pa.Array, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has; ``end`` appends END_ID to each."""
         if len(self.words) > KEPT_WORDS:
             self._reset()
-        words, index = self.words, []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                if not self.by_words or "  " in text or text[0] in " \n" or text[-1] == " " or "\0" in text:
-                    own = [text]
-                else:
-                    marked = text.replace(" ", "\0 ")
-                    if "\n" in text and text[-1] != "\n" and not _LINE_AND_BLANK.search(text):
-                        marked = marked.replace("\n", "\0\n\0")
-                    own = marked.split("\0")
-                counts[k] = len(own)
-                index.append(np.array(itemgetter(*own)(words) if len(own) > 1 else [words[own[0]]], np.int64))
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        filled = pc.greater(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        cut = filled & self._can_be_cut(column)
+        # Words are told apart where the column lies; Python sees each different one once.
+        lists = pc.split_pattern(self._marked(column.filter(pa.array(cut))), "\0")
+        words = pc.list_flatten(lists).dictionary_encode()
+        counts = filled.astype(np.int64)
+        counts[cut] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        index = np.zeros(int(counts.sum()), np.int64)
+        by_word = np.repeat(cut, counts)
+        index[by_word] = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+        index[~by_word] = self._numbers(column.filter(pa.array(filled & ~cut)).to_pylist())
         self._learn()
-        ids, ends = self.word_ids.of(np.concatenate(index) if index else np.zeros(0, np.int64))
+        ids, ends = self.word_ids.of(index)
         edges = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
         if end:
             ids = np.insert(ids, edges[1:], END_ID)
             edges = edges + np.arange(len(edges))
         return ids, np.diff(edges)
 
+    def _can_be_cut(self, column: pa.Array) -> np.ndarray:
+        """Texts without doubled, leading or trailing blanks, and without the mark."""
+        if not self.by_words:
+            return np.zeros(len(column), bool)
+        whole = [
+            pc.match_substring(column, "  "), pc.match_substring(column, "\0"), pc.starts_with(column, " "), pc.starts_with(column, "\n"),
+            pc.ends_with(column, " "),
+        ]
+        return ~np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in whole])
+
+    @staticmethod
+    def _marked(column: pa.Array) -> pa.Array:
+        """A mark before every blank, and around line ends where each is a piece of its own."""
+        marked = pc.replace_substring(column, " ", "\0 ")
+        lines = pc.and_(pc.invert(pc.ends_with(column, "\n")), pc.invert(pc.match_substring_regex(column, _LINE_AND_BLANK)))
+        return pc.if_else(lines, pc.replace_substring(marked, "\n", "\0\n\0"), marked)
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

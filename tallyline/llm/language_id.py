@@ -8,7 +8,6 @@ length, estimate the cross-entropy; the smallest wins.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +16,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyline.llm.common import id_and_text, slices, table
 
-# The labelled sample: at most SAMPLE_ROWS texts per language, chosen by hashed id, and of these
-# together at most SAMPLE_CHARS characters, an equal share of each.
-SAMPLE_ROWS = 64
-SAMPLE_CHARS = 30_000
-# Characters whose transitions are looked up in a table, the commonest; those of all others are searched for.
-SYMBOLS = 63
-# Texts are parsed in stretches of so many characters, each from the start of a phrase, so that many advance at once.
+# The labelled sample: at most SAMPLE_ROWS whole texts per language, chosen by hashed id among those of at most
+# SAMPLE_TEXT characters; a language that has only longer ones is learned from its shortest.
+SAMPLE_ROWS = 32
+SAMPLE_TEXT = 2_000
+# Texts are parsed in stretches of so many characters at once, and the stretches then fitted together.
 STRETCH = 512
-# Stretches that advance together.
-WIDTH = 4096
+# Pairs of a stretch and a language that advance together.
+WIDTH = 16_384
+# Rounds in which all stretches are fitted to the one before them; later ones wait for it.
+ROUNDS = 4
 UNDETERMINED = "und"
 _PREDICTION = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -61,107 +60,201 @@ def transitions(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def tables(step: list[dict[int, int]], n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Transitions by symbols below ``n_symbols`` as a table, row per state and -1 where none; the others as (state, symbol, next) rows."""
-    found = np.full((len(step), n_symbols), -1, np.int32)
-    rows = np.array([(state, symbol, to) for state, own in enumerate(step) for symbol, to in own.items()], np.int64).reshape(-1, 3)
-    common = rows[:, 1] < n_symbols
-    found[rows[common, 0], rows[common, 1]] = rows[common, 2]
-    return found, rows[~common]
-
-
-def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Transition table of the smallest automaton of all substrings: row per state, column per symbol, -1 where none."""
-    return tables(transitions(symbols), n_symbols)[0]
+class Edges:
+    """Transitions of automata in one row, each state's symbols laid over those of others so that no two meet.
 
+    A place holds state and target of the transition whose symbol leads there from the state's
+    base, so one look tells a transition or that there is none. Size goes with the number of
+    transitions, not with the alphabet.
+    """
 
-def shared_out(texts: list[str], total: int) -> list[str]:
-    """Starts of the texts, at most ``total`` characters with one between two: equal shares, longer texts take what shorter ones leave."""
-    left, cut = total - max(0, len(texts) - 1), [0] * len(texts)
-    for done, k in enumerate(sorted(range(len(texts)), key=lambda k: len(texts[k]))):
-        cut[k] = min(len(texts[k]), max(0, left) // (len(texts) - done))
-        left -= cut[k]
-    return [t[:n] for t, n in zip(texts, cut)]
+    def __init__(self, steps: list[list[dict[int, int]]], n_symbols: int):
+        bases, rows, states, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+        for step in steps:
+            base, row = _overlaid(step, n_symbols)
+            used = row >= 0
+            rows.append(np.where(used, ((row >> 32) + states << 32) | ((row & 0xFFFFFFFF) + states), -1))
+            bases.append(base + places)
+            states, places = states + len(step), places + len(row)
+        self.base, self.row = np.concatenate(bases).astype(np.int32), np.concatenate(rows)
+
+    @property
+    def nbytes(self) -> int:
+        return self.base.nbytes + self.row.nbytes
+
+    def next(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The state each symbol leads to, -1 where none."""
+        found = self.row[self.base[states] + symbols]
+        return np.where(found >> 32 == states, found & 0xFFFFFFFF, -1)
+
+
+def _overlaid(step: list[dict[int, int]], n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Base of each state, and the row of (state, target); states of many symbols are placed first, those of one fill the gaps."""
+    n_edges = sum(map(len, step))
+    base, row = np.zeros(len(step), np.int64), np.full(2 * n_edges + 2 * n_symbols + 256, -1, np.int64)
+    low = 0
+    for state in sorted((k for k, own in enumerate(step) if len(own) > 1), key=lambda k: -len(step[k])):
+        own, at = np.fromiter(step[state], np.int64, len(step[state])), low
+        while True:
+            taken = (row[at + own[:, None] + np.arange(128)] >= 0).any(axis=0)
+            if not taken.all():
+                at += int(taken.argmin())
+                break
+            at += 128
+            if at + n_symbols + 128 > len(row):
+                row = np.r_[row, np.full(len(row), -1, np.int64)]
+        base[state] = at
+        row[at + own] = state << 32 | np.fromiter(step[state].values(), np.int64, len(own))
+        # Where nearly every place is taken is not looked at again.
+        while low + 1024 < at and (row[low : low + 256] >= 0).mean() > 0.9:
+            low += 256
+    single = [k for k, own in enumerate(step) if len(own) == 1]
+    symbols = np.array([next(iter(step[k])) for k in single], np.int64)
+    if len(single) + 2 * n_symbols > int((row < 0).sum()):
+        row = np.r_[row, np.full(len(single) + 2 * n_symbols, -1, np.int64)]
+    free = np.flatnonzero(row < 0)
+    free = free[free >= n_symbols][: len(single)]
+    base[single] = free - symbols
+    row[free] = np.array(single, np.int64) << 32 | np.array([next(iter(step[k].values())) for k in single], np.int64)
+    # Every base can be looked behind for any symbol.
+    return base, np.r_[row[: int(max(np.flatnonzero(row >= 0), default=0)) + 1], np.full(n_symbols, -1, np.int64)]
 
 
 class Languages:
-    """Automata of all languages in one transition table, fitted to a sample."""
+    """Automata of all languages, fitted to a sample of whole texts."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        texts = [" ".join(shared_out([t.lower() for t in samples[name]], SAMPLE_CHARS)) for name in self.names]
-        ranked = Counter(ch for t in texts for ch in t.encode("utf-32-le", "replace").decode("utf-32-le")).most_common()
+        texts = [" ".join(t.lower() for t in samples[name]) for name in self.names]
+        known = sorted(set().union(*(t.encode("utf-32-le", "replace").decode("utf-32-le") for t in texts)))
         # Every character of any sample has its number; one number stands for those of none.
-        self.n_all = len(ranked) + 1
-        self.symbol = np.full(0x110000, len(ranked), np.int32)
-        for k, (ch, _) in enumerate(ranked):
-            self.symbol[ord(ch)] = k
-        # The table's last column stays empty: rarer characters are searched for.
-        self.n_symbols = min(SYMBOLS, len(ranked)) + 1
-        dense, rare, self.roots, at = [], [np.zeros((0, 3), np.int64)], [], 0
-        for t in texts:
-            made, others = tables(transitions(self.numbers(t).tolist()), self.n_symbols - 1)
-            dense.append(np.pad(np.where(made >= 0, made + at, -1), ((0, 0), (0, 1)), constant_values=-1).astype(np.int32))
-            rare.append(others + [at, 0, at])
-            self.roots.append(at)
-            at += len(made)
-        self.step = np.concatenate(dense).ravel() if dense else np.zeros(0, np.int32)
-        rows = np.concatenate(rare)
-        keys = rows[:, 0] * self.n_all + rows[:, 1]
-        order = np.argsort(keys)
-        self.keys, self.targets = keys[order], rows[order, 2].astype(np.int32)
+        self.n_symbols = len(known) + 1
+        self.symbol = np.full(0x110000, len(known), np.int32)
+        self.symbol[[ord(ch) for ch in known]] = np.arange(len(known))
+        steps = [transitions(self.numbers(t).tolist()) for t in texts]
+        self.roots = np.cumsum([0, *map(len, steps)])[:-1].tolist()
+        self.edges = Edges(steps, self.n_symbols)
         self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
 
     def numbers(self, text: str) -> np.ndarray:
         """A text's symbols."""
         return self.symbol[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
-    def _next(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """The state after a symbol (row) under each language (column), -1 where none."""
-        to = self.step[state * np.int64(self.n_symbols) + np.minimum(symbols, self.n_symbols - 1)[:, None]]
-        rare = np.flatnonzero((symbols >= self.n_symbols - 1) & (symbols < self.n_all - 1))
-        if len(rare) and len(self.keys):
-            key = np.broadcast_to(state, to.shape)[rare] * np.int64(self.n_all) + symbols[rare][:, None]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            to[rare] = np.where(self.keys[k] == key, self.targets[k], -1)
-        return to
-
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases of each lower-cased text (row) under each language (column)."""
+        """Phrases of each lower-cased text (row) under each language (column), by a greedy parse of the whole text."""
         lengths = np.array([len(t) for t in texts], np.int64)
-        symbols = np.r_[self.numbers("".join(texts)), np.zeros(STRETCH, np.int64)]
+        symbols = self.numbers("".join(texts))
         starts = np.cumsum(lengths) - lengths
         stretches = -(-lengths // STRETCH)
         text = np.repeat(np.arange(len(texts)), stretches)
         part = np.arange(len(text)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
         start = starts[text] + part * STRETCH
         size = np.minimum(STRETCH, lengths[text] - part * STRETCH)
-        order = np.argsort(-size, kind="stable")
         counts = np.zeros((len(texts), len(self.names)), np.int64)
-        for at in range(0, len(order), WIDTH):
-            own = order[at : at + WIDTH]
-            np.add.at(counts, text[own], self._parse(symbols, start[own], size[own]))
+        left = None
+        width = max(16, WIDTH // max(1, len(self.names)))
+        for at in range(0, len(text), width):
+            own = slice(at, at + width)
+            entry = start[at] + np.zeros(len(self.names), np.int64) if part[at] == 0 else left
+            found, left = self._parse(symbols, start[own], size[own], (starts + lengths)[text[own]], part[own] == 0, entry)
+            np.add.at(counts, text[own], found)
         return counts
 
-    def _parse(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases of stretches, longest first, under each language; all advance one character at a time."""
-        roots = np.array(self.roots, np.int32)[None, :]
+    def _parse(
+        self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, text_end: np.ndarray, first: np.ndarray, entry: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that start in each of some consecutive stretches, under each language, and where the last stretch is left.
+
+        Each stretch is first parsed as if a phrase started with it. The true parse enters it where
+        the one before is left, and runs on its own only until both start a phrase at one place; from there on
+        they are the same. ``entry`` is where the first stretch is entered.
+        """
+        begins, leaves = self._alone(symbols, start, size, text_end)
+        behind = begins[:, ::-1].cumsum(axis=1, dtype=np.int16)[:, ::-1]
+        end = start + size
+        counts, exits = behind[:, 0].astype(np.int64), leaves.copy()
+        entries = np.where(first[:, None], start[:, None], 0) + np.zeros((1, len(self.names)), np.int64)
+        entries[0] = entry
+        parsed_from = np.repeat(start[:, None], len(self.names), axis=1)
+        true = np.repeat(first[:, None], len(self.names), axis=1)
+        true[0] = True
+        rounds = 0
+        while True:
+            follows = np.flatnonzero(~first)
+            follows = follows[follows > 0]
+            entries[follows] = exits[follows - 1]
+            due = entries != parsed_from
+            if not due.any():
+                return counts, exits[-1]
+            if rounds >= ROUNDS:
+                # Only stretches whose predecessor is final.
+                for k in follows:
+                    true[k] = true[k - 1] & ~due[k - 1]
+                due &= true
+            s, language = np.nonzero(due)
+            counts[s, language], exits[s, language] = self._joined(
+                symbols, entries[s, language], language, s, start, end[s], text_end[s], begins, behind, leaves[s, language]
+            )
+            parsed_from[s, language] = entries[s, language]
+            rounds += 1
+
+    def _alone(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, text_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases begin in stretches (stretch, place, language) parsed from their starts, and where the last phrases end."""
+        order = np.argsort(-size, kind="stable")
+        roots = np.array(self.roots, np.int64)[None, :]
         state = np.repeat(roots, len(start), axis=0)
-        counts = np.ones(state.shape, np.int32)
-        active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
-        for k in range(int(size[0])):
-            n = int(active[k])
-            here = symbols[start[:n] + k]
-            to = self._next(state[:n], here)
-            broken = to < 0
-            if k:
-                # A phrase ends before this character: no longer one fits, or the last one was an unseen character, a phrase by itself.
-                counts[:n] += broken | (state[:n] == roots)
-            if broken.any():
-                again = self._next(roots, here)
-                to = np.where(broken, np.where(again >= 0, again, roots), to)
-            state[:n] = to
-        return counts
+        begins = np.zeros((int(size.max()), len(start), len(self.names)), bool)
+        sorted_start = start[order]
+        active = np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 1), side="right")
+        for k, n in enumerate(active.tolist()):
+            here = symbols[sorted_start[:n] + k]
+            at = state[:n]
+            # A phrase ends before a character that does not continue it, and behind an unseen one, which is a phrase by itself.
+            to = self.edges.next(at, here[:, None])
+            new = (to < 0) | (at == roots)
+            begins[k, :n] = new
+            again = self.edges.next(roots, here[:, None])
+            state[:n] = np.where(new, np.where(again >= 0, again, roots), to)
+        leaves = np.empty((len(start), len(self.names)), np.int64)
+        ends, language = np.repeat((start + size)[order], len(self.names)), np.tile(np.arange(len(self.names)), len(start))
+        leaves[order] = self._run_on(symbols, ends, state.ravel(), language, np.repeat(text_end[order], len(self.names))).reshape(len(start), -1)
+        back = np.argsort(order)
+        return begins.transpose(1, 0, 2)[back], leaves
+
+    def _run_on(self, symbols: np.ndarray, at: np.ndarray, state: np.ndarray, language: np.ndarray, text_end: np.ndarray) -> np.ndarray:
+        """Where the phrases that are in a state at a place end."""
+        at, roots, left = at.copy(), np.array(self.roots, np.int64)[language], np.flatnonzero(at < text_end)
+        state = state.copy()
+        while len(left):
+            to = self.edges.next(state[left], symbols[at[left]])
+            goes = (to >= 0) & (state[left] != roots[left])
+            left, to = left[goes], to[goes]
+            state[left] = to
+            at[left] += 1
+            left = left[at[left] < text_end[left]]
+        return at
+
+    def _joined(self, symbols, at, language, s, start, end, text_end, begins, behind, leaves) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases and exits of stretches ``s`` entered at ``at``: own phrases up to a place where one begins anyway, or to the stretch's end."""
+        at, counts, exits = at.copy(), np.zeros(len(s), np.int64), np.empty(len(s), np.int64)
+        roots = np.array(self.roots, np.int64)[language]
+        left = np.arange(len(s))
+        while len(left):
+            # All in ``left`` are where a phrase begins.
+            out = at[left] >= end[left]
+            exits[left[out]] = at[left[out]]
+            left = left[~out]
+            place = at[left] - start[s[left]]
+            met = begins[s[left], place, language[left]]
+            same = left[met]
+            counts[same] += behind[s[same], place[met], language[same]]
+            exits[same] = leaves[same]
+            left = left[~met]
+            counts[left] += 1
+            to = self.edges.next(roots[left], symbols[at[left]])
+            state = np.where(to >= 0, to, roots[left])
+            at[left] = self._run_on(symbols, at[left] + 1, state, language[left], text_end[left])
+        return counts, exits
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text with a letter, UNDETERMINED and 0 for the others."""
@@ -188,21 +281,29 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame) -> Languages:
-    """Learn from the sample: ids are chosen from a scan of ids and labels alone, texts are read for those only."""
-    learnable = docs.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull())
-    key = F.xxhash64(F.col("doc_id"))
-    chosen = (
-        learnable.select(F.col("lang").cast("string").alias("lang"), F.struct(key.alias("key"), F.col("doc_id").cast("long").alias("id")).alias("s"))
-        .groupBy("lang", F.pmod("s.key", F.lit(SAMPLE_ROWS)).alias("lot"))
-        .agg(F.min("s").alias("s"))
-    )
-    ids = [row.id for row in chosen.select("s.id").collect()]
+    """Learn from the sample: rows are chosen by hashed id and the text's length, texts are read for the chosen ones only.
+
+    At most SAMPLE_ROWS + 1 ids and SAMPLE_ROWS texts per language reach the driver.
+    """
+    learnable = docs.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    key, length = F.xxhash64(F.col("doc_id")), F.length("text")
+    named = learnable.select(F.col("lang").cast("string").alias("lang"), key.alias("key"), F.col("doc_id").cast("long").alias("id"), length.alias("length"))
+    short = named.filter(F.col("length") <= SAMPLE_TEXT).groupBy("lang", F.pmod("key", F.lit(SAMPLE_ROWS)).alias("lot"))
+    chosen = short.agg(F.min(F.struct("key", "id")).alias("s")).select("lang", "s.id")
+    shortest = named.groupBy("lang").agg(F.min(F.struct("length", "key", "id")).alias("s")).select("lang", "s.id")
+    ids: dict[str, set[int]] = {}
+    for row in chosen.collect():
+        ids.setdefault(row.lang, set()).add(row.id)
+    for row in shortest.collect():
+        ids.setdefault(row.lang, {row.id})
     samples: dict[str, list[str]] = {}
     if ids:
-        part = F.substring("text", 1, SAMPLE_CHARS)
-        rows = learnable.filter(F.col("doc_id").isin(ids)).groupBy("doc_id", F.col("lang").cast("string").alias("lang")).agg(F.min(part).alias("text"))
-        for row in sorted(rows.filter("text <> ''").collect(), key=lambda r: (r.lang, r.doc_id)):
-            samples.setdefault(row.lang, []).append(row.text)
+        wanted = sorted(set().union(*ids.values()))
+        rows = learnable.filter(F.col("doc_id").isin(wanted)).groupBy(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"))
+        # Of rows that repeat an id the shortest text counts, then the least.
+        for row in sorted(rows.agg(F.min(F.struct(length.alias("length"), "text")).alias("s")).select("id", "lang", "s.text").collect(), key=lambda r: (r.lang, r.id)):
+            if row.id in ids[row.lang]:
+                samples.setdefault(row.lang, []).append(row.text)
     return Languages(samples)
 
 

@@ -11,7 +11,7 @@ from reference import base_spans, entropy_spans, smith_waterman
 
 from tallyline.llm import decontamination as dec, secrets
 from tallyline.llm.chat import as_events, digests, escaped, folded, formatted, read_back, rendered, unescaped
-from tallyline.llm.language_id import Languages, identified, shared_out, suffix_automaton, with_language
+from tallyline.llm.language_id import Languages, fit, identified, transitions, with_language
 from tallyline.llm.oracles import LLM_ORACLES
 from tallyline.llm.surrogates import replaced
 from tallyline.llm.warc import derivatives, plain_text, responses, write_warc
@@ -117,12 +117,12 @@ def test_alignment_matches_the_textbook(pairs):
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="abc", min_size=1, max_size=25))
 def test_the_automaton_knows_exactly_the_substrings(text):
-    steps = suffix_automaton(["abc".index(c) for c in text], 3)
+    steps = transitions(["abc".index(c) for c in text])
 
     def known(part):
         state = 0
         for c in part:
-            state = steps[state]["abc".index(c)]
+            state = steps[state].get("abc".index(c), -1)
             if state < 0:
                 return False
         return True
@@ -149,13 +149,50 @@ def test_phrases_are_a_greedy_parse():
     assert got.tolist() == [[greedy(t, " ".join(sample[k])) for k in "ab"] for t in texts]
 
 
-def test_each_text_of_a_sample_has_its_share():
-    assert list(map(len, shared_out(["a" * 100_000, "b" * 10, "c" * 500, "d" * 300], 1003))) == [345, 10, 345, 300]
-    assert shared_out(["ab", "c"], 100) == ["ab", "c"] and shared_out([], 9) == []
-    languages = Languages({"x": ["0" * 200_000, "hello world and all"], "y": ["nothing like it"]})
+def test_samples_are_whole_texts(spark):
+    rows = [(k, "abc " * 400 if k % 2 else "x" * 5000, "short") for k in range(400)]
+    rows += [(1000 + k, "y" * (9000 + k), "long") for k in range(20)] + [(2000, "", "none"), (2001, None, "none")]
+    languages = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages.names == ["long", "short"]
+    lengths = np.exp2(languages.bits).round().astype(int).tolist()
+    assert 9000 <= lengths[0] < 9020 and lengths[1] % 1601 == 1600 and 10 <= (lengths[1] + 1) // 1601 <= 32
+    languages = Languages({"x": ["0" * 50_000, "hello world and all"], "y": ["nothing like it"]})
     assert languages.predict(["hello world"])[0] == ["x"]
 
 
+def one_by_one(text, sample):
+    count, at = 0, 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in sample:
+            end += 1
+        count, at = count + 1, end
+    return count
+
+
+@pytest.mark.parametrize("width", [16_384, 96])
+def test_long_texts_are_parsed_greedily_as_a_whole(monkeypatch, width):
+    from tallyline.llm import language_id
+
+    monkeypatch.setattr(language_id, "WIDTH", width)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    sample = {"a": [" ".join(rng.choice(words) for _ in range(400)) + "zzzzzzz"], "b": [" ".join(rng.choice(words[:30]) for _ in range(300)) + "q" * 900], "c": ["ab" * 40]}
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 5, 60, 100, 200, 900)]
+    texts += ["z" * n for n in (511, 512, 513, 1024, 1500, 5000)] + ["q" * 4000, "ab" * 2000, "?" * 1200, "a?" * 700, sample["a"][0] * 2]
+    texts += ["".join(rng.choice("abcde zq?") for _ in range(rng.randrange(1, 5001))) for _ in range(40)]
+    languages = Languages(sample)
+    assert languages.phrases(texts).tolist() == [[one_by_one(t, sample[k][0]) for k in "abc"] for t in texts]
+
+
+def test_a_hundred_languages_fit_a_worker():
+    rng = random.Random(12)
+    sample = {f"l{k:03d}": ["".join(chr(0x100 + 40 * k + min(39, int(rng.expovariate(0.15)))) for _ in range(3000)) for _ in range(10)] for k in range(4)}
+    languages = Languages(sample)
+    assert languages.edges.nbytes / 4 * 100 < 300e6
+    assert languages.predict([sample["l002"][0][50:90]])[0] == ["l002"]
+
+
 def test_every_character_of_a_sample_is_told_apart():
     rng = random.Random(6)
     chars = {"one": [chr(0x4E00 + k) for k in range(300)] + ["\U00020001"], "two": [chr(0x4E00 + k) for k in range(200, 500)] + ["\U00020002"]}

@@ -93,10 +93,14 @@ def decoded_deliveries(spark: SparkSession, sf_dir: str, with_conflicts: bool =
     return decode_events(deliveries(events_table(spark, sf_dir), with_conflicts)).drop("value", "occurred_text")
 
 
+def once_each(events: DataFrame) -> DataFrame:
+    """Payloads of every event, once; works on streams as well."""
+    return source_events(events).select(_payload(F.col("quantity"), False).alias("value"))
+
+
 def unique_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event once, decoded, as a fixture file would hold them."""
-    once = source_events(events_table(spark, sf_dir)).select(_payload(F.col("quantity"), False).alias("value"))
-    return decode_events(once).drop("value", "occurred_text")
+    return decode_events(once_each(events_table(spark, sf_dir))).drop("value", "occurred_text")
 
 
 def odd_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:

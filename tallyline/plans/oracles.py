@@ -686,5 +686,19 @@ ORACLES: dict[str, str] = {
     ),
 }
 
-# The same answer from an index by event id.
-ORACLES["dispositions_by_index"] = ORACLES["dispositions_after_ledger"]
+# The same answers by other means: indexes, state, bitmaps, digests and intervals.
+ORACLES |= {
+    "dispositions_by_index": ORACLES["dispositions_after_ledger"],
+    "dispositions_by_state": ORACLES["dispositions"],
+    "running_product_day": _q(
+        CLEAN_LOG,
+        f"SELECT {_TOTALS.format('q')} FROM disp WHERE disposition = 'accepted' GROUP BY observed_date, product_code",
+    ),
+    "row_diff_by_bitmap": ORACLES["row_diff"],
+    "count_mismatch_by_bitmap": ORACLES["count_mismatch"],
+    "scope_ids_by_bitmap": ORACLES["scope_ids"],
+    "reconcile_differences_by_digest": ORACLES["reconcile_differences"],
+    "digest_tree_agreement": "SELECT CAST(0 AS BIGINT) AS differing_leaves, COUNT(*) AS members FROM lineitem",
+    "position_gaps_by_interval": ORACLES["position_gaps"],
+    "prior_position_by_interval": ORACLES["prior_position"],
+}

@@ -184,3 +184,22 @@ KNOWN_EVENTS = _struct(
     ("payload_sha256", _S),
     ("bucket", _I),
 )
+
+DISPOSITIONS = _struct(
+    ("topic", _S),
+    ("partition", _I),
+    ("kafka_offset", _L),
+    ("event_id", _S),
+    ("payload_sha256", _S),
+    ("existing_payload_sha256", _S),
+    ("disposition", _S),
+    ("reason", _S),
+)
+
+DAILY_VERSIONS = _struct(
+    ("observed_date", _D),
+    ("product_code", _S),
+    ("signed_quantity_sum", T.DecimalType(38, 0)),
+    ("unique_event_count", _L),
+    ("version", _L),
+)

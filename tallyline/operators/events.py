@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyline.errors import ContractViolation
 from tallyline.functions import strict_json as sj
 from tallyline.functions.identity import canonical_json, payload_hash
 from tallyline.functions.numbers import wide_sum
@@ -151,8 +152,11 @@ def plan_violations(plan: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def plan_deliveries(events: DataFrame, plan: DataFrame, phase: str) -> DataFrame:
-    """Payloads of one phase of a plan; the same event may be delivered many times."""
-    return plan.filter(F.col("phase") == phase).join(
+    """Payloads of one phase of a plan; the same event may be delivered many times. A phase without deliveries is refused."""
+    own = plan.filter(F.col("phase") == phase)
+    if own.isEmpty():
+        raise ContractViolation(f"the plan has no delivery in phase {phase!r}")
+    return own.join(
         events.select("event_id", "payload_json", "payload_sha256"), "event_id"
     )
 

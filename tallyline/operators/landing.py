@@ -71,6 +71,11 @@ def select_rows(default: DataFrame, override: DataFrame | None, run_id: str | Co
     return chosen.select(run.alias("run_id"), "source_file_id", "sheet_name", "source_row_number")
 
 
+def last_selected(selection: DataFrame) -> DataFrame:
+    """The highest selected row number of every file and sheet: a scan need not go further."""
+    return selection.groupBy("source_file_id", "sheet_name").agg(F.max("source_row_number").alias("last_row"))
+
+
 def restrict_rows(rows: DataFrame, selection: DataFrame) -> DataFrame:
     """Only rows whose location was selected."""
     return rows.join(selection.select(*LOCATION), LOCATION, "left_semi").select(*rows.columns)

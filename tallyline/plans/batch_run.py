@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyline.errors import ContractViolation, ResultNotFound, ResultReadError
 from tallyline.functions.identity import rule_id
@@ -22,7 +22,8 @@ from tallyline.operators.result import result_header, result_products
 from tallyline.operators.scope import scope_ids
 from tallyline.operators.typed import TRANSFORMATION_RULE, typed_lines
 from tallyline.schemas import MEMBERS, PRODUCT_DAY, RAW_ROWS, RUN_EVENTS, SCOPES, SOURCE_FILES
-from tallyline.sources.storage import append, append_rows, read_or_empty, replace_partitions
+from tallyline.sources.documents import commit_document
+from tallyline.sources.storage import append, append_rows, claim_next, read_or_empty, replace_partitions
 
 
 @dataclass(frozen=True)
@@ -71,12 +72,12 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/contributions")
 
     def log(self, run_id: str, status: str, at: dt.datetime, **more) -> None:
-        """Append one run event behind the newest one."""
+        """Append one run event behind the newest one; its numbers are claimed, so writers at the same time get different ones."""
         newest = self.run_events.agg(F.max("event_seq"), F.max("publish_seq")).first()
         row = {name: None for name in RUN_EVENTS.fieldNames()}
-        row.update(run_id=run_id, event_seq=(newest[0] or 0) + 1, status=status, at=at, **more)
+        row.update(run_id=run_id, event_seq=claim_next(self.spark, f"{self.root}/claims/events", newest[0] or 0), status=status, at=at, **more)
         if status == "succeeded":
-            row["publish_seq"] = (newest[1] or 0) + 1
+            row["publish_seq"] = claim_next(self.spark, f"{self.root}/claims/publications", newest[1] or 0)
         append_rows(self.spark, [tuple(row.values())], RUN_EVENTS, f"{self.root}/run_events")
 
 
@@ -188,7 +189,10 @@ def published_days(store: Store, run_id: str) -> DataFrame:
 
 
 def export_result(store: Store, run_id: str, manifests: DataFrame, path: str) -> None:
-    """Write a published run as JSON: header lines, and product lines with their pages."""
+    """Write a published run as JSON: header lines, and product lines with their pages, visible together or not at all.
+
+    ``read_document`` reads the newest version.
+    """
     day = published_days(store, run_id).drop("is_current")
     long = store.contributions().filter(F.col("run_id") == run_id)
     members = store.members.filter(F.col("run_id") == run_id)
@@ -196,9 +200,7 @@ def export_result(store: Store, run_id: str, manifests: DataFrame, path: str) ->
         store.scopes.filter(F.col("run_id") == run_id), pub.run_state(store.run_events), manifests, scope_ids(members)
     )
     products = result_products(day, pday.nested_contributions(long))
-    # The header is what readers look for, so it goes last: a header always has its lines.
-    for part, rows in (("products", products), ("header", header)):
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{path}/{part}")
+    commit_document(path, run_id, {"products": products, "header": header})
 
 
 def recover(store: Store, dead: DataFrame) -> list[str]:
@@ -211,10 +213,12 @@ def recover(store: Store, dead: DataFrame) -> list[str]:
         "artifact_path", F.concat(F.lit(f"{store.root}/product_days/run_id="), "run_id")
     )
     # One append behind the newest event. The dead runs are the caller's list, so their number is no corpus's.
-    newest = store.run_events.agg(F.coalesce(F.max("event_seq"), F.lit(0))).first()[0]
+    seq = store.run_events.agg(F.coalesce(F.max("event_seq"), F.lit(0))).first()[0]
     closed = pub.recover_runs(runs, log, dead, F.lit(_now()), reason, artifacts)
-    numbered = closed.withColumn("event_seq", F.lit(newest) + F.row_number().over(Window.orderBy("run_id")))
-    rows = [tuple(row) for row in land.align_schema(numbered, RUN_EVENTS).orderBy("event_seq").collect()]
+    rows = []
+    for row in land.align_schema(closed, RUN_EVENTS).orderBy("run_id").collect():
+        seq = claim_next(store.spark, f"{store.root}/claims/events", seq)
+        rows.append(tuple((row.asDict() | {"event_seq": seq})[name] for name in RUN_EVENTS.fieldNames()))
     if rows:
         append_rows(store.spark, rows, RUN_EVENTS, f"{store.root}/run_events")
     return [row[RUN_EVENTS.fieldNames().index("run_id")] for row in rows]

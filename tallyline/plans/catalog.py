@@ -26,6 +26,7 @@ from tallyline.plans import run_views as runs_v
 from tallyline.plans.stored_queries import STORED_QUERIES
 from tallyline.schemas import CONSUMER_STATUSES, LOCATION, SCOPES
 from tallyline.session import scratch_path
+from tallyline.sources.documents import commit_document, read_document
 from tallyline.streaming.ledger_stream import Ledger, consume_available, ledger_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +185,17 @@ def result_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- contracts -------------------------------------------------------------------
 
 
+@query
+def committed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product lines of a result document that was written twice, read back from its newest version."""
+    path = scratch_path(spark, "document")
+    lines = result_products(spark, sf_dir)
+    marked = lines.withColumn("run_id", F.lit("run-all"))
+    for rows in (marked.limit(0), marked):
+        commit_document(path, "run-all", {"products": rows, "header": rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("lines"))})
+    return read_document(spark, path, "run-all")["products"].select(*lines.columns)
+
+
 @query
 def lossless_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chk.lossy_quantities(typed_lines(rv.dirty_rows(spark, sf_dir)), rv.members_all(spark, sf_dir))

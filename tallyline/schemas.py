@@ -203,3 +203,13 @@ DAILY_VERSIONS = _struct(
     ("unique_event_count", _L),
     ("version", _L),
 )
+
+# One row per part of a version of a document.
+DOCUMENT_MANIFEST = _struct(
+    ("run_id", _S),
+    ("version", _S),
+    ("seq", _L),
+    ("part", _S),
+    ("schema_json", _S),
+    ("rows", _L),
+)

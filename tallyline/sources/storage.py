@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -38,3 +39,21 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that no reader is told of any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def claim_next(spark: SparkSession, folder: str, newest: int) -> int:
+    """The first number behind ``newest`` that no other writer has taken, taken by creating its file.
+
+    Of writers that meet at a number one gets it and the others go on to the next; a writer that
+    ends before it uses its number leaves a hole. This is as exact as the store's exclusive creation.
+    """
+    number, hadoop = newest, spark._jvm.org.apache.hadoop.fs
+    while True:
+        number += 1
+        claim = hadoop.Path(f"{folder}/{number:019d}")
+        try:
+            claim.getFileSystem(spark._jsc.hadoopConfiguration()).create(claim, False).close()
+            return number
+        except Py4JJavaError as exc:
+            if "FileAlreadyExists" not in exc.java_exception.getClass().getName():
+                raise

@@ -125,12 +125,16 @@ def _column(letters: str) -> int:
     return index - 1
 
 
-def scan_workbooks(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+def scan_workbooks(spark: SparkSession, path: str, sheet: str, last_rows: DataFrame | None = None) -> DataFrame:
     """Every row of the named sheet in every workbook, first eight columns.
 
-    A workbook that can not be read, or has no such sheet, gives one row with ``error``.
+    With ``last_rows`` (source_file_id, sheet_name, last_row, as landing's ``last_selected`` gives them)
+    a workbook is parsed up to its last selected row only, one that nothing is selected of up to
+    its header; what lies behind is never looked at. A workbook that can not be read that far, or has no such sheet, gives
+    one row with ``error``.
     """
-    columns = SHEET_ROWS.fieldNames()
+    columns, stopped = SHEET_ROWS.fieldNames(), last_rows is not None
+    stops = last_rows.filter(F.col("sheet_name") == sheet).select("source_file_id", "last_row") if stopped else None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,6 +142,8 @@ def scan_workbooks(spark: SparkSession, path: str, sheet: str) -> DataFrame:
                 out: list[tuple] = []
                 try:
                     for number, cells, types in _rows(file.content, sheet):
+                        if stopped and number > file.last_row:
+                            break
                         out.append((file.source_file_id, file.path, sheet, number, cells, types, None))
                         if len(out) == BATCH_ROWS:
                             yield pd.DataFrame(out, columns=columns)
@@ -150,6 +156,8 @@ def scan_workbooks(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     files = binary_files(spark, path, "*.xlsx").select(
         sha256_id(F.col("content")).alias("source_file_id"), "path", "content"
     )
+    if stops is not None:
+        files = files.join(stops, "source_file_id", "left").withColumn("last_row", F.coalesce("last_row", F.lit(1)))
     return files.mapInPandas(read, SHEET_ROWS)
 
 

@@ -24,7 +24,7 @@ from tallyline.operators.landing import align_schema
 from tallyline.operators.positions import stream_verdicts
 from tallyline.operators.publish import run_state
 from tallyline.schemas import ATTEMPTS, MARKERS, RUN_EVENTS
-from tallyline.sources.storage import append_rows, read_or_empty
+from tallyline.sources.storage import append_rows, claim_next, read_or_empty
 from tallyline.sources.streams import BATCH_OFFSETS
 from tallyline.streaming.event_index import FAN, EventIndex
 
@@ -109,7 +109,7 @@ class Ledger:
         newest = self.run_events.agg(F.max("event_seq")).first()[0] or 0
         row = {name: None for name in RUN_EVENTS.fieldNames()}
         row.update(
-            run_id=run_id, event_seq=newest + 1, status=status, at=dt.datetime.now(dt.timezone.utc),
+            run_id=run_id, event_seq=claim_next(self.spark, f"{self.root}/claims/events", newest), status=status, at=dt.datetime.now(dt.timezone.utc),
             input_path=self.root, error_message=error,
         )
         append_rows(self.spark, [tuple(row.values())], RUN_EVENTS, f"{self.root}/run_events")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyline.errors import ContractViolation
 from tallyline.operators import events as evt
 
 GOOD = '{"event_id":"e1","occurred_at":"2026-09-22T10:00:00Z","product_code":"W-1","quantity":3}'
@@ -100,7 +101,7 @@ def test_fixture_and_plan_rules(spark):
     assert found == [("d1", "delivery_id_repeats"), ("d2", "field_missing"), ("d3", "unknown_event")]
 
 
-@pytest.mark.parametrize("phase, want", [("initial", 1), ("late", 2), ("never", 0)])
+@pytest.mark.parametrize("phase, want", [("initial", 1), ("late", 2)])
 def test_plan_repeats_events(spark, phase, want):
     events = spark.createDataFrame([("a", "{}", "x")], "event_id string, payload_json string, payload_sha256 string")
     plan = spark.createDataFrame(
@@ -108,3 +109,5 @@ def test_plan_repeats_events(spark, phase, want):
         "delivery_id string, phase string, event_id string",
     )
     assert evt.plan_deliveries(events, plan, phase).count() == want
+    with pytest.raises(ContractViolation, match="'never'"):
+        evt.plan_deliveries(events, plan, "never")

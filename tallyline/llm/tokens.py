@@ -12,8 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-# Words kept per Python worker before the table starts anew; bounds its memory, changes no result.
-KEPT_WORDS = 400_000
+# Pieces kept per Python worker before the table starts anew, none if one is longer than LONGEST_KEPT; bounds its memory, changes no result.
+KEPT_PIECES = 600_000
+LONGEST_KEPT = 65_536
 END_ID = 2
 # The pattern that byte-level BPE cuts texts by, and how its vocabulary shows bytes:
 # printable Latin-1 characters as themselves, the others as the characters from 256 on, in order.
@@ -21,6 +22,10 @@ _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 # A line end before white space, which is any character that some reader takes for it.
 _LINE_AND_BLANK = r"\n[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _AS_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+# Letters in every version of Unicode: a word of them is one piece, and so are stops behind it. Other words are cut by the pattern.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481]"
+_ONE_PIECE = f"^ ?{_LETTERS}+$"
+_TWO_PIECES = f"^(?P<word> ?{_LETTERS}+)(?P<stops>[.,;:!?]+)$"
 # The character of each byte; byte 0 parts pieces and occurs in none.
 BYTES_AS_SHOWN = np.arange(256, dtype="<u4")
 BYTES_AS_SHOWN[[b for b in range(256) if b not in _AS_SHOWN]] = 256 + np.arange(256 - len(_AS_SHOWN))
@@ -64,7 +69,7 @@ class _Ids:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, each different word encoded once.
+    """Ids of texts by the tokenizers library, each different piece encoded once.
 
     The byte-level pattern starts a new piece at every blank that follows a non-blank and
     precedes a non-blank, so a text cut there encodes to the concatenated ids of its words; a
@@ -88,83 +93,119 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.words, self.word_ids = _Words(), _Ids()
-        self.pieces, self.piece_ids = _Words(), _Ids()
+        self.pieces, self.piece_ids, self.longest = _Words(), _Ids(), 0
 
-    def _learn_pieces(self) -> None:
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of pieces, new ones included; those behind a byte 0 are words for the whole tokenizer."""
+        found = np.array(itemgetter(*pieces)(self.pieces) if len(pieces) > 1 else [self.pieces[w] for w in pieces], np.int64)
         new, self.pieces.new = self.pieces.new, []
         if new:
-            shown = BYTES_AS_SHOWN[np.frombuffer("\x00".join(new).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\x00")
-            found = [[token.id for token in self.tokenizer.model.tokenize(piece)] for piece in shown]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.piece_ids.add(np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths)
-
-    def _learn(self) -> None:
-        """Ids of the new words: those that are one run of non-blanks by pieces, the rest by the tokenizer."""
-        new, self.words.new = self.words.new, []
-        if not new:
-            return
-        plain = np.concatenate([self._plain(new[k : k + _LOT]) for k in range(0, len(new), _LOT)])
-        own = [word for word, ok in zip(new, plain) if ok]
-        found = [np.array(self._ids(word), np.int32) for word, ok in zip(new, plain) if not ok]
-        lengths = np.zeros(len(new), np.int64)
-        lengths[~plain] = [len(x) for x in found]
-        by_piece = np.zeros(0, np.int32)
-        if own:
-            cut = _PATTERN.findall("\n".join(own))
-            index = np.fromiter(map(self.pieces.__getitem__, cut), np.int64, len(cut))
-            self._learn_pieces()
-            newline = self.pieces["\n"] if len(own) > 1 else -1
-            word = np.cumsum(index == newline)
-            index, word = index[index != newline], word[index != newline]
-            by_piece, _ = self.piece_ids.of(index)
-            lengths[plain] = np.bincount(word, self.piece_ids.lengths[index], len(own)).astype(np.int64)
-        order = np.repeat(plain, lengths)
-        flat = np.zeros(int(lengths.sum()), np.int32)
-        flat[order] = by_piece
-        flat[~order] = np.concatenate(found) if found else by_piece[:0]
-        self.word_ids.add(flat, lengths)
+            self.longest = max(self.longest, max(map(len, new)))
+            ids: list[list[int]] = [self._ids(p[1:]) if p[0] == "\0" else [] for p in new] if any(p[0] == "\0" for p in new) else [[]] * len(new)
+            own = [k for k, p in enumerate(new) if p[0] != "\0"]
+            if own:
+                data = "\0".join([new[k] for k in own] if len(own) < len(new) else new).encode()
+                shown = BYTES_AS_SHOWN[np.frombuffer(data, np.uint8)].tobytes().decode("utf-32-le").split("\0")
+                told = [[token.id for token in self.tokenizer.model.tokenize(piece)] for piece in shown]
+                if len(own) == len(new):
+                    ids = told
+                else:
+                    for k, found_ids in zip(own, told):
+                        ids[k] = found_ids
+            self._add(ids)
+        return found
+
+    def _add(self, ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.piece_ids.add(np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths)
 
     def _plain(self, words: list[str]) -> np.ndarray:
         """Which words are one run of non-blanks behind at most one blank; mostly all are, which is told at once."""
-        if not self.by_words:
-            return np.zeros(len(words), bool)
         joined = "\n" + "\n".join(words)
         runs = joined.split()
         all_plain = len(runs) == len(words) and joined.replace("\n ", "\n") == "\n" + "\n".join(runs)
         if all_plain and "\0" not in joined and not any(special in joined for special in self.special):
             return np.ones(len(words), bool)
-        return np.array([self._is_plain(word) for word in words])
+        return np.array([self._is_plain(word) for word in words], bool)
 
     def _is_plain(self, word: str) -> bool:
         parts = word.split()
         return len(parts) == 1 and word in (parts[0], " " + parts[0]) and "\0" not in word and not any(special in word for special in self.special)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        return np.array(itemgetter(*words)(self.words) if len(words) > 1 else [self.words[w] for w in words], np.int64)
+    def _cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Pieces of words one after another, and how many each has, by the pattern."""
+        plain = np.concatenate([self._plain(words[k : k + _LOT]) for k in range(0, len(words), _LOT)]) if words else np.zeros(0, bool)
+        counts = np.ones(len(words), np.int64)
+        own = [word for word, ok in zip(words, plain) if ok]
+        cut = _PATTERN.findall("\n".join(own)) if own else []
+        pieces, edges = [piece for piece in cut if piece != "\n"], np.array([piece == "\n" for piece in cut], bool)
+        if own:
+            word = np.cumsum(edges)[~edges]
+            counts[plain] = np.bincount(word, minlength=len(own))
+        if plain.all():
+            return pieces, counts
+        out, left = [], iter(pieces)
+        for word, ok, n in zip(words, plain, counts.tolist()):
+            out.extend([next(left) for _ in range(n)] if ok else ["\0" + word])
+        return out, counts
+
+    def _pieces_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of words one after another, and how many each has; most are told by their letters, without Python."""
+        single = pc.match_substring_regex(words, _ONE_PIECE).to_numpy(zero_copy_only=False)
+        parted = pc.extract_regex(words, _TWO_PIECES)
+        double = parted.is_valid().to_numpy(zero_copy_only=False) & ~single
+        if any(special.replace(" ", "").isalpha() for special in self.special):
+            # A special token of letters alone may be inside any word.
+            single, double = np.zeros(len(words), bool), np.zeros(len(words), bool)
+        rest = ~(single | double)
+        parted = parted.filter(pa.array(double))
+        plain = pa.concat_arrays([words.filter(pa.array(single)), parted.field("word"), parted.field("stops")]).dictionary_encode()
+        cut, cut_counts = self._cut(words.filter(pa.array(rest)).to_pylist())
+        numbers = self._numbers(plain.dictionary.to_pylist())[plain.indices.to_numpy(zero_copy_only=False)]
+        cut_numbers = self._numbers(cut)
+        counts = np.where(double, 2, 1)
+        counts[rest] = cut_counts
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int64)
+        ns, nd = int(single.sum()), int(double.sum())
+        out[starts[single]] = numbers[:ns]
+        out[starts[double]] = numbers[ns : ns + nd]
+        out[starts[double] + 1] = numbers[ns + nd :]
+        out[np.repeat(rest, counts)] = cut_numbers
+        return out, counts
 
     def encode(self, texts: list[str] | pa.Array, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has; ``end`` appends END_ID to each."""
-        if len(self.words) > KEPT_WORDS:
+        if len(self.pieces) > KEPT_PIECES:
             self._reset()
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         filled = pc.greater(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         cut = filled & self._can_be_cut(column)
-        # Words are told apart where the column lies; Python sees each different one once.
+        # Words are told apart where the column lies; Python sees each different piece once.
         lists = pc.split_pattern(self._marked(column.filter(pa.array(cut))), "\0")
         words = pc.list_flatten(lists).dictionary_encode()
+        pieces, pieces_each = self._pieces_of(words.dictionary)
+        # A word's own ids, for the words of this call, and those of texts that are not cut.
+        of_pieces, ends = self.piece_ids.of(pieces)
+        lengths = np.diff(np.r_[0, ends][np.r_[0, np.cumsum(pieces_each)]])
+        known = _Ids()
+        known.add(of_pieces, lengths)
+        whole = [self._ids(text) for text in column.filter(pa.array(filled & ~cut)).to_pylist()]
+        known.add(np.fromiter(chain.from_iterable(whole), np.int32), np.array([len(x) for x in whole], np.int64))
         counts = filled.astype(np.int64)
         counts[cut] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        index = np.zeros(int(counts.sum()), np.int64)
+        index = np.empty(int(counts.sum()), np.int64)
         by_word = np.repeat(cut, counts)
-        index[by_word] = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
-        index[~by_word] = self._numbers(column.filter(pa.array(filled & ~cut)).to_pylist())
-        self._learn()
-        ids, ends = self.word_ids.of(index)
+        index[by_word] = words.indices.to_numpy(zero_copy_only=False)
+        index[~by_word] = len(lengths) + np.arange(len(whole))
+        ids, ends = known.of(index)
         edges = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        if self.longest > LONGEST_KEPT:
+            # Very long pieces, as of texts without blanks, are not kept.
+            self._reset()
         if end:
             ids = np.insert(ids, edges[1:], END_ID)
             edges = edges + np.arange(len(edges))

@@ -694,6 +694,7 @@ ORACLES |= {
         CLEAN_LOG,
         f"SELECT {_TOTALS.format('q')} FROM disp WHERE disposition = 'accepted' GROUP BY observed_date, product_code",
     ),
+    "replayed_log": ORACLES["stream_ledger"],
     "committed_products": ORACLES["result_products"],
     "row_diff_by_bitmap": ORACLES["row_diff"],
     "count_mismatch_by_bitmap": ORACLES["count_mismatch"],

@@ -16,8 +16,10 @@ from tallyline.operators.typed import typed_lines
 from tallyline.plans import delivery_views as dv
 from tallyline.plans import retail_views as rv
 from tallyline.session import scratch_path
+from tallyline.sources.replay import read_log, write_log
 from tallyline.streaming.daily import consume_daily, daily_totals
 from tallyline.streaming.event_index import FAN, EventIndex
+from tallyline.streaming.ledger_stream import Ledger, consume_available
 from tallyline.streaming.stateful import dispositions_so_far, start_dispositions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +119,16 @@ def digest_tree_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apart.agg(F.count(F.lit(1)).alias("differing_leaves")).select("differing_leaves", there.filter("level = 0").select("rows").scalar().alias("members"))
 
 
+@stored
+def replayed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log written as segments of files and consumed from there by the ledger stream, then read back as totals."""
+    folder = scratch_path(spark, "replay")
+    write_log(dv.deliveries(dv.events_table(spark, sf_dir)), f"{folder}/log")
+    ledger = Ledger(spark, f"{folder}/ledger")
+    consume_available(read_log(spark, f"{folder}/log"), ledger, f"{folder}/checkpoint")
+    return led.ledger_product_day(ledger.events).withColumn("signed_quantity_sum", F.col("signed_quantity_sum").cast("string"))
+
+
 def _batches(log: DataFrame) -> list[DataFrame]:
     return [log.filter(F.floor(F.col("kafka_offset") / 100) % 10 == k) for k in range(10)]
 

@@ -213,3 +213,12 @@ DOCUMENT_MANIFEST = _struct(
     ("schema_json", _S),
     ("rows", _L),
 )
+
+# Lines of a delivery log; topic, partition and segment are folders.
+LOG_LINES = _struct(
+    ("offset", _L),
+    ("value", _S),
+    ("topic", _S),
+    ("partition", _I),
+    ("segment", _L),
+)

@@ -57,3 +57,9 @@ def claim_next(spark: SparkSession, folder: str, newest: int) -> int:
         except Py4JJavaError as exc:
             if "FileAlreadyExists" not in exc.java_exception.getClass().getName():
                 raise
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as readers outside Spark's own need it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().toString().replace("file:/", "file:///", 1)

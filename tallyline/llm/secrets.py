@@ -26,13 +26,16 @@ CLASSES = [
     ("hex", r"^[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 3.0),
     ("base64", r"^[A-Za-z0-9+/_=-]+$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.7),
 ]
-# Strings that look random and are known not to be secrets: UUIDs, paths, runs of words joined by dashes or underscores.
+# Whole strings that look random and are known not to be secrets: UUIDs, paths, runs of words joined by dashes or underscores.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^/?(?:[A-Za-z]+[0-9]{0,4}/)+[A-Za-z]*[0-9]{0,4}$",
     r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_](?:[A-Za-z]+|[0-9]{1,4}))+$",
-    r"(?i)(?:example|sample|placeholder|xxxxxx|0123456789|abcdefgh)",
 ]
+# What shows that a part of a high-entropy span is made up. A span is no secret if its other parts, between separators, have
+# fewer characters than a window, so a key joined to such a word is still found.
+MADE_UP = r"(?i)(?:example|sample|placeholder|xxxxxx|0123456789|abcdefgh)"
+SEPARATORS = "[/=_-]+"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 
@@ -106,7 +109,7 @@ def high_windows(value: Column, alphabet: str, threshold: float) -> Column:
 
 
 def _entropy_spans(text: Column) -> Column:
-    """Spans of high windows in the candidates that no allow-list entry matches."""
+    """Spans of high windows in the candidates that no allow-list entry matches, but for made-up ones."""
     candidates = F.filter(
         _found(text, text.rlike(CANDIDATE), CANDIDATE),
         lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & ~F.greatest(*[x["value"].rlike(p) for p in ALLOWED]),
@@ -116,9 +119,14 @@ def _entropy_spans(text: Column) -> Column:
         chosen = F.lit(None).cast("struct<first: int, last: int>")
         for _, shape, alphabet, threshold in reversed(CLASSES):
             chosen = F.when(x["value"].rlike(shape), high_windows(x["value"], alphabet, threshold)).otherwise(chosen)
-        return F.struct(x["start"].alias("start"), chosen.alias("w"))
+        return F.struct(x["start"].alias("start"), x["value"].alias("value"), chosen.alias("w"))
 
-    high = F.filter(F.transform(candidates, windows), lambda x: x["w"]["first"].isNotNull())
+    def real(x: Column) -> Column:
+        span = x["value"].substr(x["w"]["first"] + 1, x["w"]["last"] - x["w"]["first"] + WINDOW)
+        others = F.filter(F.split(span, SEPARATORS), lambda part: ~part.rlike(MADE_UP))
+        return x["w"]["first"].isNotNull() & (~span.rlike(MADE_UP) | (F.length(F.array_join(others, "")) >= WINDOW))
+
+    high = F.filter(F.transform(candidates, windows), real)
     return F.transform(
         high,
         lambda x: F.struct(

@@ -87,7 +87,7 @@ def base_spans(text):
     return sorted(found)
 
 
-def entropy_spans(text, window, candidate, classes, allowed):
+def entropy_spans(text, window, candidate, classes, allowed, made_up, separators):
     found = []
     for m in re.finditer(candidate, text or ""):
         value = m[0]
@@ -99,7 +99,9 @@ def entropy_spans(text, window, candidate, classes, allowed):
             counts = Counter(value[i : i + window]).values()
             if -sum(c / window * log2(c / window) for c in counts) >= threshold - 1e-9 / window:
                 high.append(i)
-        if high:
+        span = value[high[0] : high[-1] + window] if high else ""
+        others = "".join(p for p in re.split(separators, span) if not re.search(made_up, p))
+        if high and (not re.search(made_up, span) or len(others) >= window):
             found.append((m.start() + high[0], 3, m.start() + high[-1] + window, "entropy"))
     return found
 

@@ -259,7 +259,7 @@ def test_secret_spans_match_brute_force(spark):
 
     for k, text in enumerate(texts):
         base = base_spans(text)
-        more = entropy_spans(text, secrets.WINDOW, secrets.CANDIDATE, secrets.CLASSES, secrets.ALLOWED)
+        more = entropy_spans(text, secrets.WINDOW, secrets.CANDIDATE, secrets.CLASSES, secrets.ALLOWED, secrets.MADE_UP, secrets.SEPARATORS)
         more = [e for e in more if not any(b[0] <= e[0] and b[2] >= e[2] for b in base)]
         row = got[k]
         assert row.spans == shown(base + more), text
@@ -269,6 +269,14 @@ def test_secret_spans_match_brute_force(spark):
     assert secrets.secrets_found(df.limit(0)).count() == 0
 
 
+def test_a_key_joined_to_a_made_up_word_is_found(spark):
+    key = "Q7vXz2Lm9RtB4wKe8YpN3sHd6JgC1fUa5TqWxVzM"
+    texts = [f"my-example-bucket/{key}", f"{key}_sample", f"example-{key[:12]}", f"placeholder{key}", key]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_entropy for r in secrets.secrets_found(df).collect()}
+    assert [got[k] for k in range(5)] == [1, 1, 0, 0, 1]
+
+
 # --- personal data ---------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyline.llm.common import groups_of, labels_of, table, written
+from tallyline.llm.common import groups_of, joined_by_share, labels_of, table, written
 from tallyline.llm.components import components
 
 MIN_COSINE = 0.93
@@ -255,14 +255,15 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     classes = written(
         marked.filter("digest IS NOT NULL")
         .groupBy("digest")
-        .agg(
-            F.count("*").alias("weight"), F.min("vec_id").alias("first_id"), F.first("vector").alias("vector"),
-            F.first(F.xxhash64("label")).alias("label_group"),
-        )
-        .withColumn("node", F.xxhash64("digest")),
+        .agg(F.count("*").alias("weight"), F.min("vec_id").alias("first_id"), F.first("vector").alias("vector"), F.first("label").alias("label"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "vector-classes",
-    )
-    spread = classes.select("node", "weight", "label_group", "vector").mapInArrow(
+    )
+    # Classes and labels have numbers of their own, so no two are taken for one.
+    labels = classes.groupBy("label").agg(F.count("*").alias("n"))
+    labels = written(labels.withColumn("label_group", F.monotonically_increasing_id()), "labels")
+    grouped = joined_by_share(classes.select("node", "weight", "label", "vector"), labels, ["label"])
+    spread = grouped.select("node", "weight", "label_group", "vector").mapInArrow(
         _spread, f"node long, weight long, label_group long, bucket long, own boolean, table int, vector array<{element}>"
     )
     cells = _cells(spread).repartition("cell").sortWithinPartitions("cell")

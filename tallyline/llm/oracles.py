@@ -154,10 +154,89 @@ FROM coded JOIN v USING (vec_id), books
 """
 
 
+# Conversations row by row: for every state the least (cost, audit) of what lies behind it.
+_REPAIR = r"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), n)) AS t
+), named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+    FROM conversations
+), fated AS (
+    SELECT named.*, xor(list_reduce(list_transform(range(1, len(name) + 1), lambda i: ord(name[i])),
+        lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS BIGINT) + 1]), 4294967295), 4294967295) % 20 AS fate
+    FROM named, crc
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM fated, range(2) c(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM damaged
+), met AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS seen FROM placed
+), faults AS MATERIALIZED (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault,
+           CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair
+    FROM met
+), step(role, p, q) AS (
+    VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('a', 2, 3), ('u', 3, 2)
+), inserted(p, q, cost, audit) AS (
+    VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (2, 3, 5, 'I'), (3, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')
+), kind AS (
+    SELECT DISTINCT initial, fault FROM faults
+), edit AS (
+    SELECT initial, fault, p, q, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS cost, 'K' AS audit
+    FROM kind JOIN step ON role = initial WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate')
+    UNION ALL
+    SELECT initial, fault, p, q, CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END, 'R'
+    FROM kind, step WHERE role <> 's' AND coalesce(fault, '') NOT IN ('blank', 'duplicate')
+    UNION ALL
+    SELECT initial, fault, p, p, 2, 'D' FROM kind, range(4) s(p)
+), move AS MATERIALIZED (
+    SELECT initial, fault, i.p, e.q, min({'cost': i.cost + e.cost, 'audit': i.audit || e.audit}) AS best
+    FROM inserted i JOIN edit e ON i.q = e.p GROUP BY ALL
+), parsed AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS q, {'cost': 0, 'audit': ''} AS best FROM (SELECT DISTINCT conv_id FROM faults)
+    UNION ALL
+    SELECT r.conv_id, r.n, m.q, min({'cost': p.best.cost + m.best.cost, 'audit': p.best.audit || m.best.audit})
+    FROM parsed p JOIN faults r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.n = p.n + 1
+    JOIN move m ON m.initial = r.initial AND m.fault IS NOT DISTINCT FROM r.fault AND m.p = p.q
+    GROUP BY r.conv_id, r.n, m.q
+), told AS (
+    SELECT conv_id, max(n) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1 AND coalesce(pair, '') NOT IN ('su', 'ua', 'au')) AS illegal,
+           coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+    FROM faults GROUP BY conv_id
+), ended AS MATERIALIZED (
+    SELECT t.*, (SELECT min({'cost': p.best.cost + i.cost, 'audit': p.best.audit || i.audit}) FROM parsed p JOIN inserted i ON i.p = p.q
+                 WHERE p.conv_id IS NOT DISTINCT FROM t.conv_id AND p.n = t.n AND i.q IN (0, 3)) AS best
+    FROM told t
+), letters AS (
+    SELECT conv_id, best.audit AS audit, i, best.audit[i] AS letter FROM ended, range(1, len(best.audit) + 1) s(i)
+), counted AS (
+    SELECT *, count(*) FILTER (letter <> 'I') OVER w AS n, count(*) FILTER (letter <> 'D') OVER w - len(replace(audit, 'D', '')) % 2 AS turns
+    FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), lines AS (
+    SELECT c.conv_id, c.i, CASE WHEN c.letter = 'K' THEN r.role WHEN c.turns % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+           || CASE WHEN c.letter = 'I' THEN '' ELSE r.text END AS line
+    FROM counted c LEFT JOIN faults r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.n = c.n WHERE c.letter <> 'D'
+), digests AS (
+    SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY i)) AS digest FROM lines GROUP BY conv_id
+)
+SELECT k.conv_id, coalesce(e.gaps, 0) AS gaps, coalesce(e.blank, 0) AS blank, coalesce(e.duplicate, 0) AS duplicate, coalesce(e.truncated, 0) AS truncated,
+       coalesce(e.illegal, 0) AS illegal, CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost, coalesce(e.best.audit, '') AS audit,
+       coalesce(d.digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
 LLM_ORACLES = {
     "op2_vector_dedup": _VECTORS,
     "op3_chat_format": _CHAT,
     "op10_warc_derivatives": _WARC,
     "op11_exact_dedup": _EXACT,
+    "op12_conversation_repair": _REPAIR,
     "op13_vector_codes": _codes_sql(PARTS, ENTRIES, ROUNDS),
 }

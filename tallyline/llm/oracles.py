@@ -53,9 +53,17 @@ FROM c GROUP BY conv_id
 
 
 def _text_sql() -> str:
-    out = r"regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', ' ', 'g')"
-    out = rf"regexp_replace({out}, '(?is)<(?:{DROPPED})\b[^>]*>.*?(?:</(?:{DROPPED})[^>]*>|\z)', ' ', 'g')"
-    out = rf"regexp_replace({out}, '(?is)<head\b[^>]*>.*?(?:</head[^>]*>|\z)', ' ', 'g')"
+    """The text of a page by RE2's means: end tags that a head must not pass are marked instead of looked ahead for."""
+    own_end = "|".join(rf"<{name}\b[^>]*>.*?(?:</{name}\b[^>]*>|\z)" for name in DROPPED.split("|"))
+    kept = "|".join(rf"<{name}\b[^>]*>.*?</{name}\b[^>]*>" for name in ("title", "textarea"))
+    rest = r"""(?:(?:[^>"'']|"[^"]*"|''[^'']*'')*>|[^>]*>)"""
+    head = (
+        rf"(?is)<head(?:>|[\s\x0B/]{rest})(?:[\s\x0B]+|<title\b[^>]*>.*?</title\b[^>]*>|<(?:meta|link|base|basefont|bgsound)\b{rest}"
+        r"|<[!?][^>]*>|</[a-z][^>]*>)*(?:\x01head[^>]*>)?"
+    )
+    out = rf"regexp_replace(html, '(?is)({kept})|<!--(?:-?>|.*?(?:--!?>|\z))|{own_end}', '\1 ', 'g')"
+    out = rf"regexp_replace({out}, '(?i)</(head|body|html|br)\b', chr(1) || '\1', 'g')"
+    out = rf"replace(regexp_replace({out}, '{head}', ' ', 'g'), chr(1), '</')"
     out = rf"regexp_replace({out}, '[\r\n]+', ' ', 'g')"
     out = rf"regexp_replace({out}, '(?i)</?(?:{BREAKING})\b[^>]*>', chr(10), 'g')"
     out = rf"regexp_replace({out}, '<[A-Za-z/!?][^>]*>', '', 'g')"

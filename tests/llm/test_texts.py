@@ -409,19 +409,38 @@ def test_plain_text(spark):
     assert got == ["One & two\nthree\nl\né 1 < 2", "", "", "x", "", "end", "plain"]
 
 
+HEADS = {
+    "<html><head><title>T</title><meta content='a > b'><body><p>kept": "kept",
+    "<head><title>T</title><link rel=x><p>kept</p> too": "kept\ntoo",
+    "<head><meta charset=utf-8>kept text": "kept text",
+    "<head><title>T <!-- t</title></head><body>kept": "kept",
+    "<head><style>p{}</style><script>x='<!--'</script></head><body>kept<!-- <script> --> all": "kept all",
+    "<script>s = '</style>'</script>kept<header>h": "kept\nh",
+    "a<!-->b<!-- c --!>d": "a b d",
+    "<head>" + "<meta a=b>\n" * 20000 + "kept": "kept",
+}
+
+
 def test_pages_without_an_end_of_the_head_keep_their_text(spark):
-    pages = {
-        "<html><head><title>T</title><meta content='a > b'><body><p>kept": "kept",
-        "<head><title>T</title><link rel=x><p>kept</p> too": "kept\ntoo",
-        "<head><meta charset=utf-8>kept text": "kept text",
-        "<head><title>T <!-- t</title></head><body>kept": "kept",
-        "<head><style>p{}</style><script>x='<!--'</script></head><body>kept<!-- <script> --> all": "kept all",
-        "<script>s = '</style>'</script>kept<header>h": "kept\nh",
-        "a<!-->b<!-- c --!>d": "a b d",
-        "<head>" + "<meta a=b>\n" * 20000 + "kept": "kept",
-    }
-    df = spark.createDataFrame([(h,) for h in pages], "html string")
-    assert [r.t for r in df.select(plain_text(F.col("html")).alias("t")).collect()] == list(pages.values())
+    df = spark.createDataFrame([(h,) for h in HEADS], "html string")
+    assert [r.t for r in df.select(plain_text(F.col("html")).alias("t")).collect()] == list(HEADS.values())
+
+
+def test_the_twin_reads_pages_by_the_same_rules(spark):
+    import duckdb
+
+    from tallyline.llm.oracles import _text_sql
+
+    rng = random.Random(8)
+    bits = ["<head>", "</head>", "<title>T</title>", "<meta a='>'>", "<body>", "<p>", "text ", "</p>", "<!-- c -->", "<!--", "<script>x</script>", "<style>", "</style>",
+            "<br/>", "\n", "  ", "&lt;", "<header>", "<textarea><b></textarea>", "</div>", "<link rel=x>"]
+    pages = [h for h, t in HEADS.items()] + [h or "" for *_, h in PAGES] + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (n INT, html VARCHAR)")
+    con.executemany("INSERT INTO p VALUES (?, ?)", list(enumerate(pages)))
+    twin = [r[0] for r in con.execute(f"SELECT {_text_sql()} FROM p ORDER BY n").fetchall()]
+    df = spark.createDataFrame(list(enumerate(pages)), "n int, html string")
+    assert [r.t for r in df.select("n", plain_text(F.col("html")).alias("t")).orderBy("n").collect()] == twin
 
 
 def test_all_character_references_are_decoded_once(spark):

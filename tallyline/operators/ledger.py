@@ -103,7 +103,7 @@ def per_stream(rows: DataFrame) -> DataFrame:
 
     Their number is the topics', not the data's; a table of more than MAX_STREAMS rows fails the job.
     """
-    gathered = rows.agg(F.collect_list(F.struct("*")).alias("all"))
+    gathered = rows.limit(MAX_STREAMS + 1).agg(F.collect_list(F.struct("*")).alias("all"))
     checked = F.when(F.size("all") <= MAX_STREAMS, F.col("all")).otherwise(
         F.raise_error(F.lit(f"more than {MAX_STREAMS} stream partitions"))
     )

@@ -18,6 +18,8 @@ JOB_SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Lists of ids up to this long reach the Parquet reader, where Bloom filters decide.
     "spark.sql.parquet.pushdown.inFilterThreshold": "256",
+    # Filters reach the sources written here.
+    "spark.sql.python.filterPushdown.enabled": "true",
     # A repeated key in an event payload keeps its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

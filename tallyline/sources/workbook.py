@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.types import StructType
 
 from tallyline.functions.identity import sha256_id
 from tallyline.functions.text import raw_text, source_kind
 from tallyline.schemas import RAW_ROWS, SHEET_HEADER, SHEET_ROWS
 from tallyline.sources.files import binary_files
+from tallyline.sources.storage import qualified
 
 BATCH_ROWS = 8_192
 WIDTH = len(SHEET_HEADER)
@@ -192,3 +198,75 @@ def raw_sheet_rows(sheet_rows: DataFrame) -> DataFrame:
         cell(7).alias("country_raw"),
         F.current_timestamp().alias("loaded_at"),
     ).select(*RAW_ROWS.fieldNames())
+
+
+@dataclass
+class SheetPartition(InputPartition):
+    """One sheet of one workbook."""
+
+    file: str
+    sheet: str
+
+
+class WorkbookReader(DataSourceReader):
+    """Sheets in parallel, each parsed up to the highest row number that the query's filters let through."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.sheet, self.last = options["path"], options.get("sheet"), None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for one in filters:
+            if isinstance(one, (EqualTo, LessThan, LessThanOrEqual)) and one.attribute == ("source_row_number",):
+                bound = one.value - isinstance(one, LessThan)
+                self.last = bound if self.last is None else min(self.last, bound)
+            # Spark applies every filter again; here they only say where to stop.
+            yield one
+
+    def partitions(self) -> list[SheetPartition]:
+        store, root = fs.FileSystem.from_uri(self.path)
+        info = store.get_file_info(root)
+        files = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
+        books = sorted(f.path for f in files if f.is_file and f.path.endswith(".xlsx"))
+        return [SheetPartition(book, sheet) for book in books for sheet in ([self.sheet] if self.sheet else self._sheets(book))]
+
+    def _content(self, book: str) -> bytes:
+        store, _ = fs.FileSystem.from_uri(self.path)
+        with store.open_input_file(book) as file:
+            return file.read()
+
+    def _sheets(self, book: str) -> list[str]:
+        with zipfile.ZipFile(io.BytesIO(self._content(book))) as parts:
+            return [node.get("name") for node in _part(parts, "xl/workbook.xml").iter() if _name(node.tag) == "sheet"]
+
+    def read(self, partition: SheetPartition) -> Iterator[tuple]:
+        content = self._content(partition.file)
+        file_id = f"sha256:{hashlib.sha256(content).hexdigest()}"
+        for number, cells, types in _rows(content, partition.sheet):
+            if self.last is not None and number > self.last:
+                return
+            yield (file_id, partition.file, partition.sheet, number, cells, types, None)
+
+
+class WorkbookSource(DataSource):
+    """Format ``workbook`` with the options ``path`` (a file or a folder) and ``sheet`` (all sheets without it)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbook"
+
+    def schema(self) -> StructType:
+        return SHEET_ROWS
+
+    def reader(self, schema: StructType) -> WorkbookReader:
+        return WorkbookReader({k.lower(): v for k, v in self.options.items()})
+
+
+def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """The rows of ``scan_workbooks`` as a source of its own: a task per sheet, and a filter on the row number ends its parsing.
+
+    A workbook that can not be read as far as the filter goes, or has no such sheet, fails the job. The path must be one that
+    pyarrow's file systems open.
+    """
+    spark.dataSource.register(WorkbookSource)
+    reader = spark.read.format("workbook").option("path", qualified(spark, path))
+    return (reader.option("sheet", sheet) if sheet else reader).load()

@@ -13,7 +13,7 @@ from tallyline.plans import batch_run as br
 from tallyline.sources import documents
 from tallyline.sources.documents import commit_document, read_document, versions_of
 from tallyline.sources.storage import claim_next
-from tallyline.sources.workbook import raw_sheet_rows, scan_workbooks, workbook_errors
+from tallyline.sources.workbook import raw_sheet_rows, read_workbooks, scan_workbooks, workbook_errors
 
 
 def parts(spark, n):
@@ -97,17 +97,47 @@ def test_a_scan_stops_behind_the_last_selected_row(spark, tmp_path):
     kept = short.columns
     assert sorted(map(str, whole.filter(F.col("source_row_number") <= numbers[1]).select(kept).collect())) == sorted(map(str, short.collect()))
     # A file that breaks behind the last selected row is never read that far.
-    torn = tmp_path / "torn.xlsx"
-    with zipfile.ZipFile(good) as book, zipfile.ZipFile(torn, "w") as copy:
-        for name in book.namelist():
-            text = book.read(name).decode()
-            if name.endswith("sheet1.xml"):
-                at = text.index(f'<row r="{numbers[-1]}"')
-                text = text[:at] + '<row r="' + text[at:at + 9] + "<" * 100_000
-            copy.writestr(name, text)
+    torn = torn_copy(good, tmp_path / "torn.xlsx", numbers[-1])
     torn_id = scan_workbooks(spark, str(torn), SHEET).first().source_file_id
     assert workbook_errors(scan_workbooks(spark, str(torn), SHEET)).count() == 1
     chosen = selection.withColumn("source_file_id", F.lit(torn_id))
     found = scan_workbooks(spark, str(torn), SHEET, last_selected(chosen))
     assert workbook_errors(found).count() == 0 and raw_sheet_rows(found).count() == numbers[1] - 1
     assert scan_workbooks(spark, str(good), SHEET, last_selected(chosen)).count() == 1
+
+
+def torn_copy(good, torn, number):
+    """The workbook with its sheet broken off inside a row."""
+    with zipfile.ZipFile(good) as book, zipfile.ZipFile(torn, "w") as copy:
+        for name in book.namelist():
+            text = book.read(name).decode()
+            if name.endswith("sheet1.xml"):
+                at = text.index(f'<row r="{number}"')
+                text = text[:at] + '<row r="' + text[at : at + 9] + "<" * 100_000
+            copy.writestr(name, text)
+    return torn
+
+
+def test_a_filter_ends_the_parsing_of_the_workbook_source(spark, tmp_path):
+    folder = tmp_path / "books"
+    folder.mkdir()
+    good = write_workbook(folder / "one.xlsx", list(CELLS))
+    write_workbook(folder / "two.xlsx", list(CELLS)[:2], sheet="Elsewhere")
+    (folder / "notes.txt").write_text("no workbook")
+    numbers = sorted(CELLS)
+    shown = ["source_file_id", "sheet_name", "source_row_number", "cells", "cell_types"]
+    whole = scan_workbooks(spark, str(good), SHEET).select(shown)
+    assert sorted(map(str, read_workbooks(spark, str(good), SHEET).select(shown).collect())) == sorted(map(str, whole.collect()))
+    every = read_workbooks(spark, str(folder))
+    assert {r.sheet_name for r in every.select("sheet_name").distinct().collect()} == {SHEET, "Elsewhere"}
+    torn = torn_copy(good, tmp_path / "torn.xlsx", numbers[-1])
+    rows = read_workbooks(spark, str(torn), SHEET)
+    with pytest.raises(Exception, match="ParseError"):
+        rows.collect()
+    for wanted in (F.col("source_row_number") <= numbers[1], F.col("source_row_number") < numbers[1] + 1):
+        assert sorted(map(str, rows.filter(wanted).select("source_row_number", "cells").collect())) == sorted(
+            map(str, whole.filter(wanted).select("source_row_number", "cells").collect())
+        )
+    assert rows.filter(F.col("source_row_number") == numbers[0]).count() == 1
+    with pytest.raises(Exception, match="sheet not found"):
+        read_workbooks(spark, str(good), "None").collect()

@@ -18,7 +18,7 @@ from tallyline.llm.common import id_and_text, slices, table
 
 # The labelled sample: at most SAMPLE_ROWS whole texts per language, chosen by hashed id among those of at most
 # SAMPLE_TEXT characters; a language that has only longer ones is learned from its shortest.
-SAMPLE_ROWS = 32
+SAMPLE_ROWS = 64
 SAMPLE_TEXT = 2_000
 # Texts are parsed in stretches of so many characters at once, and the stretches then fitted together.
 STRETCH = 512

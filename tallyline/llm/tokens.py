@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import regex
 
 # Pieces kept per Python worker before the table starts anew, none if one is longer than LONGEST_KEPT; bounds its memory, changes no result.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 350_000
 LONGEST_KEPT = 65_536
 END_ID = 2
 # The pattern that byte-level BPE cuts texts by, and how its vocabulary shows bytes:

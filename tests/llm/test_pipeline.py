@@ -86,5 +86,5 @@ def test_every_query_reads_whole_tables(spark):
     import __spark_entry__ as entry
 
     names = {name.split("_")[0] for name in entry.queries() if name.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
     assert entry.queries()["op4_secret_scan"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").select(F.count("*")).first()[0]

@@ -1,8 +1,8 @@
-"""The ledger's rule as streaming state: one value per event id, kept between batches and restarts.
+"""The ledger's rule as streaming state: the first accepted delivery of every event id, kept between batches and restarts.
 
-The state holds the first accepted delivery of an id, so a batch is classified without reading
-the ledger at all. Where each stream partition stops is not state: it is the least conflicting
-offset among the conflicts written so far, few rows in a folder of their own.
+The state lies in buckets of ids, so that a batch asks for it once per bucket and not once per id, and a batch is
+classified without reading the ledger at all. Where each stream partition stops is not state: it is the least
+conflicting offset among the conflicts written so far, few rows in a folder of their own.
 """
 
 from __future__ import annotations
@@ -17,34 +17,39 @@ from tallyline.schemas import DISPOSITIONS
 from tallyline.sources.storage import read_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_DELIVERY = ["topic", "partition", "kafka_offset", "payload_sha256"]
+# Buckets of event ids; a checkpoint belongs to one number of them. A task holds one bucket's ids at a time.
+BUCKETS = 1 << 16
+_DISPOSITION = Row(*DISPOSITIONS.fieldNames())
+_DELIVERY = ["event_id", "topic", "partition", "kafka_offset", "payload_sha256"]
 
 
-class FirstDelivery(StatefulProcessor):
-    """Compares the deliveries of one event id with the first accepted one.
+class FirstDeliveries(StatefulProcessor):
+    """Compares the deliveries of a bucket's event ids with the first accepted one of each.
 
-    A batch's deliveries of one id are held as positions and digests, no payloads; a batch is
-    bounded by its number of offsets. A delivery in another stream partition than the first has
-    a reason, as in ``classify``.
+    A batch's deliveries of one bucket, and the bucket's firsts, are held as positions and digests,
+    no payloads; new firsts are appended to the state. A delivery in another stream partition than
+    the first has a reason, as in ``classify``.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "topic string, partition int, kafka_offset long, payload_sha256 string")
+        self.firsts = handle.getListState("firsts", "event_id string, topic string, partition int, kafka_offset long, payload_sha256 string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = sorted(tuple(row[c] for c in _DELIVERY) for row in rows)
-        fresh = not self.first.exists()
+        firsts = {first[0]: (first[1], first[2], first[4]) for first in self.firsts.get()}
+        fresh = []
+        for delivery in sorted(tuple(row)[: len(_DELIVERY)] for row in rows):
+            event_id, topic, partition, offset, sha = delivery
+            first = firsts.get(event_id)
+            if first is None:
+                first = firsts[event_id] = (topic, partition, sha)
+                fresh.append(delivery)
+                disposition = "accepted"
+            else:
+                disposition = "redelivery" if sha == first[2] else "conflict"
+            reason = None if (topic, partition) == first[:2] else "event_id_spans_partitions"
+            yield _DISPOSITION(topic, partition, offset, event_id, sha, first[2], disposition, reason)
         if fresh:
-            self.first.update(held[0])
-        topic, partition, _, known = held[0] if fresh else self.first.get()
-        for place, (own_topic, own_partition, offset, sha) in enumerate(held):
-            same = sha == known
-            disposition = "accepted" if fresh and place == 0 else "redelivery" if same else "conflict"
-            reason = None if (own_topic, own_partition) == (topic, partition) else "event_id_spans_partitions"
-            yield Row(
-                topic=own_topic, partition=own_partition, kafka_offset=offset, event_id=key[0], payload_sha256=sha,
-                existing_payload_sha256=known, disposition=disposition, reason=reason,
-            )
+            self.firsts.appendList(fresh)
 
     def close(self) -> None:
         pass
@@ -56,8 +61,8 @@ def dispositions_stream(deliveries: DataFrame) -> DataFrame:
     Deliveries of one id must arrive in the order of their offsets from batch to batch, as the
     positions of a log do; inside a batch their order does not matter. The session's state store must be RocksDB.
     """
-    slim = deliveries.select("topic", "partition", "kafka_offset", "event_id", "payload_sha256")
-    return slim.groupBy("event_id").transformWithState(FirstDelivery(), DISPOSITIONS, "Append", "None")
+    slim = deliveries.select(*_DELIVERY, F.pmod(F.xxhash64("event_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    return slim.groupBy("bucket").transformWithState(FirstDeliveries(), DISPOSITIONS, "Append", "None")
 
 
 def start_dispositions(deliveries: DataFrame, folder: str) -> StreamingQuery:

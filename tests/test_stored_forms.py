@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 from test_ledger import E1, E2, E3, GOLDEN, LATE, Feed, event
 
 from tallyline.operators import bitmaps, intervals, scope
@@ -12,9 +12,11 @@ from tallyline.operators.contracts import count_mismatch
 from tallyline.operators.digest_tree import differing_leaves, digest_tree, reconcile_by_digest
 from tallyline.operators.events import decode_events
 from tallyline.operators.reconcile import reconcile
+from tallyline.plans import stored_queries
 from tallyline.sources import streams
 from tallyline.streaming.daily import consume_daily, daily_totals, daily_versions
-from tallyline.streaming.stateful import dispositions_so_far, start_dispositions, stops_so_far
+from tallyline.streaming.event_index import FAN, EventIndex
+from tallyline.streaming.stateful import FirstDeliveries, dispositions_so_far, start_dispositions, stops_so_far
 
 
 def rows(df):
@@ -140,3 +142,29 @@ def test_a_late_event_after_a_restart_changes_its_own_day(spark, feed, tmp_path)
     assert [(str(r[0]), r[1], int(r[2]), r[3]) for r in found] == GOLDEN
     new = daily_versions(spark, folder).orderBy(F.desc("version")).limit(1).collect()
     assert daily_versions(spark, folder).count() == before + 1 and str(new[0].observed_date) == "2026-09-21"
+
+
+# --- growth ----------------------------------------------------------------------
+
+
+def test_state_is_asked_for_once_per_bucket():
+    class Held(list):
+        calls = 0
+
+        def get(self):
+            self.calls += 1
+            return iter(list(self))
+
+        def appendList(self, new):
+            self.calls += 1
+            self.extend(new)
+
+    held = Held()
+    processor = FirstDeliveries()
+    processor.init(type("Handle", (), {"getListState": lambda self, *_: held})())
+    feed = [Row(f"e{k % 500}", "t", 0, k, f"sha{k % 500 if k != 700 else 'other'}", 1) for k in range(1000)]
+    found = list(processor.handleInputRows((1,), iter(feed), None))
+    assert [sum(r[6] == d for r in found) for d in ("accepted", "redelivery", "conflict")] == [500, 499, 1]
+    again = list(processor.handleInputRows((1,), iter([Row("e3", "t", 1, 0, "sha3", 1)]), None))
+    assert [tuple(r)[5:] for r in again] == [("sha3", "redelivery", "event_id_spans_partitions")]
+    assert held.calls == 3 and len(held) == 500

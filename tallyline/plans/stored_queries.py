@@ -17,6 +17,7 @@ from tallyline.plans import delivery_views as dv
 from tallyline.plans import retail_views as rv
 from tallyline.session import scratch_path
 from tallyline.sources.replay import read_log, write_log
+from tallyline.sources.storage import kept
 from tallyline.streaming.daily import consume_daily, daily_totals
 from tallyline.streaming.event_index import FAN, EventIndex
 from tallyline.streaming.ledger_stream import Ledger, consume_available
@@ -129,17 +130,10 @@ def replayed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.ledger_product_day(ledger.events).withColumn("signed_quantity_sum", F.col("signed_quantity_sum").cast("string"))
 
 
-def _batches(log: DataFrame) -> list[DataFrame]:
-    return [log.filter(F.floor(F.col("kafka_offset") / 100) % 10 == k) for k in range(10)]
-
-
 def _merged_intervals(log: DataFrame) -> DataFrame:
     """Intervals of ten batches, joined as a ledger would."""
-    parts = [ivl.intervals_of(batch) for batch in _batches(log)]
-    runs = parts[0]
-    for part in parts[1:]:
-        runs = runs.unionByName(part)
-    return ivl.merged(runs)
+    batch = F.floor(F.col("kafka_offset") / 100) % 10
+    return ivl.merged(ivl.runs_of(log.withColumn("batch", batch), "batch"))
 
 
 @stored
@@ -153,7 +147,7 @@ def position_gaps_by_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @stored
 def prior_position_by_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A replay of the whole log against intervals and attempts without view events."""
-    log = dv.decoded_deliveries(spark, sf_dir)
-    attempts = led.classify(log, unique_positions=True).filter("product_code <> 'view'")
+    log = kept(dv.decoded_deliveries(spark, sf_dir).select(*led.POSITION, "event_id", "payload_sha256", "product_code"), "log")
+    attempts = kept(led.classify(log, unique_positions=True).filter("product_code <> 'view'"), "attempts")
     checkpoint = log.groupBy("topic", "partition").agg((F.max("kafka_offset") + 1).alias("durable_next_offset"))
     return ivl.unproven_positions(log, attempts, _merged_intervals(attempts), checkpoint)

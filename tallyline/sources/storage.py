@@ -7,6 +7,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tallyline.session import scratch_path
+
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table at ``path``, or no rows when nothing was written there yet.
@@ -26,6 +28,13 @@ def append_rows(spark: SparkSession, rows: list[tuple], schema: StructType, path
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
+def kept(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder, for plans that read it more than once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 

@@ -147,6 +147,21 @@ def test_a_late_event_after_a_restart_changes_its_own_day(spark, feed, tmp_path)
 # --- growth ----------------------------------------------------------------------
 
 
+def test_gaps_and_positions_are_told_without_comparing_ranges(spark):
+    """Positions and intervals of a slice are ordered together; an edge run goes on over slices, any other stays in its own."""
+    held = [o for o in range(200_000) if o % 3 or 65_500 < o < 131_100]
+    positions = spark.createDataFrame([("t", 0, o, f"e{o}", "s") for o in held], "topic string, partition int, kafka_offset long, event_id string, payload_sha256 string")
+    found = intervals.intervals_of(positions)
+    assert found.agg(F.sum(F.expr("last_offset - first_offset + 1"))).first()[0] == len(held)
+    assert [tuple(r)[2:] for r in found.filter("last_offset - first_offset > 2").collect()] == [(65_500, 131_099)]
+    deliveries = spark.range(200_000).select(F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("kafka_offset"), F.concat(F.lit("e"), "id").alias("event_id"), F.lit("s").alias("payload_sha256"))
+    checkpoint = spark.createDataFrame([("t", 0, 200_000)], "topic string, partition int, durable_next_offset long")
+    unproven = intervals.unproven_positions(deliveries, positions.withColumn("disposition", F.lit("accepted")), found, checkpoint)
+    assert unproven.count() == 200_000 - len(held)
+    joins = [line for line in unproven._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line]
+    assert joins and not any("<=" in line for line in joins)
+
+
 def test_state_is_asked_for_once_per_bucket():
     class Held(list):
         calls = 0

@@ -35,12 +35,14 @@ def stored(fn: Query) -> Query:
 @stored
 def dispositions_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log met again by a ledger up to mid January, kept as an index by event id that was filled in nine batches."""
-    log = dv.decoded_deliveries(spark, sf_dir, with_conflicts=True)
-    ledger = led.accepted_events(led.classify(log, unique_positions=True)).filter("observed_date < '2024-01-15'")
-    known = ledger.withColumnsRenamed({"first_topic": "topic", "first_partition": "partition"})
+    decoded = dv.decoded_deliveries(spark, sf_dir, with_conflicts=True)
+    log = kept(decoded.select(*led.POSITION, "event_id", "payload_sha256", "observed_date"), "log")
+    accepted = led.classify(log, unique_positions=True).filter("disposition = 'accepted' AND observed_date < '2024-01-15'")
+    batch = F.pmod(F.xxhash64("event_id", F.lit("batch")), F.lit(FAN + 1)).cast("int").alias("batch")
+    known = kept(accepted.select("event_id", "topic", "partition", "payload_sha256", batch), "known", "batch")
     index = EventIndex(spark, scratch_path(spark, "event-index"))
     for k in range(FAN + 1):
-        index.add(known.filter(F.pmod(F.xxhash64("event_id", F.lit("batch")), F.lit(FAN + 1)) == k), k + 1, k + 1)
+        index.add(known.filter(F.col("batch") == k), k + 1, k + 1)
     found = led.classify(log, index.known(log.select("event_id")), unique_positions=True)
     return found.groupBy("partition", "disposition").agg(
         F.count(F.lit(1)).alias("deliveries"), F.min("kafka_offset").alias("first_offset")

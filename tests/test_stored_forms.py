@@ -183,3 +183,10 @@ def test_state_is_asked_for_once_per_bucket():
     again = list(processor.handleInputRows((1,), iter([Row("e3", "t", 1, 0, "sha3", 1)]), None))
     assert [tuple(r)[5:] for r in again] == [("sha3", "redelivery", "event_id_spans_partitions")]
     assert held.calls == 3 and len(held) == 500
+
+
+def test_the_index_is_filled_from_a_log_that_was_classified_once(spark, monkeypatch):
+    filled = []
+    monkeypatch.setattr(EventIndex, "add", lambda self, events, *_: filled.append(sorted(events.inputFiles())))
+    stored_queries.dispositions_by_index(spark, "/root/testdata/sf0.001")
+    assert len(filled) == FAN + 1 and all("/known-" in f for own in filled for f in own)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
-from tallyline.functions.numbers import checked_sum
+from tallyline.functions.numbers import checked_sum, wide_sum
 from tallyline.functions.text import contains_text
 from tallyline.functions.times import display_ts
 from tallyline.schemas import LOCATION
@@ -99,12 +99,25 @@ def nested_contributions(contribution_rows: DataFrame, page_rows: int = PAGE_ROW
         "unit_price_source_text",
         "country",
     )
+    return _paged(contribution_rows, page_rows).agg(F.sort_array(F.collect_list(item)).alias("contributing_rows"))
+
+
+def _paged(contribution_rows: DataFrame, page_rows: int) -> GroupedData:
     page = F.floor(F.col("source_row_number") / page_rows).cast("bigint")
-    keys = ["run_id", "source_file_id", "observed_date", "stock_code", "sheet_name", "page"]
-    return (
-        contribution_rows.withColumn("page", page)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(item)).alias("contributing_rows"))
+    return contribution_rows.groupBy("run_id", "source_file_id", "observed_date", "stock_code", "sheet_name", page.alias("page"))
+
+
+def page_totals(contribution_rows: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Number of rows and exact quantity of the same pages, for readers that do not want the rows themselves."""
+    return _paged(contribution_rows, page_rows).agg(
+        F.count(F.lit(1)).alias("page_row_count"), wide_sum(F.col("quantity")).alias("page_quantity_sum")
+    )
+
+
+def days_of_pages(pages: DataFrame) -> DataFrame:
+    """Product days summed from page totals: the rows of ``days_of``."""
+    return pages.groupBy("run_id", "source_file_id", "observed_date", "stock_code").agg(
+        checked_sum(F.col("page_quantity_sum")).alias("sample_quantity_sum"), F.sum("page_row_count").alias("observed_row_count")
     )
 
 

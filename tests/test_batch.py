@@ -15,6 +15,7 @@ from tallyline.operators.reconcile import reconcile
 from tallyline.operators.scope import row_diff, scope_ids
 from tallyline.operators.typed import typed_lines
 from tallyline.plans import batch_run as br
+from tallyline.plans.catalog import QUERIES
 from tallyline.plans.compare_run import compare_published
 from tallyline.sources.files import (
     binary_files, fingerprint_files, jsonl_violations, manifest_selection, manifest_violations, read_jsonl, read_manifests,
@@ -370,3 +371,21 @@ def test_jsonl_lines(spark, tmp_path):
     lines = read_jsonl(spark, str(tmp_path / "e.jsonl"))
     assert lines.count() == 4
     assert sorted(r.line for r in jsonl_violations(lines).collect()) == ["[1]", '{"a":1} x']
+
+
+def test_totals_of_pages_are_those_of_their_rows(spark):
+    big = 2**63 - 1
+    made = [("r", "f", "2010-01-01", "A", "s", n, q) for n, q in ((1, big), (2, big), (70_000, -big), (70_001, -5), (140_000, 3))]
+    made += [("r", "f", "2010-01-01", code, "s", 9, 1) for code in ("B", None)]
+    schema = "run_id string, source_file_id string, observed_date string, stock_code string, sheet_name string, source_row_number long, quantity long"
+    long = spark.createDataFrame(made, schema).repartition(3)
+    pages = pday.page_totals(long)
+    counts = {(r.stock_code, r.page): r.page_row_count for r in pages.collect()}
+    assert counts == {("A", 0): 2, ("A", 1): 2, ("A", 2): 1, ("B", 0): 1, (None, 0): 1}
+    assert sorted(map(str, pday.days_of_pages(pages).collect())) == sorted(map(str, pday.days_of(long).collect()))
+
+
+def test_rows_meet_their_membership_once(spark):
+    """What the query reads twice was kept before; its plan does not go back to the table."""
+    files = QUERIES["result_products"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/pages-" in f for f in files)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyline.functions.numbers import checked_sum
+from tallyline.functions.numbers import checked_sum, wide_sum
 from tallyline.operators.product_day import PAGE_ROWS
 
 GROUP = ["observed_date", "stock_code"]
@@ -53,6 +53,31 @@ def _state(metric: str) -> Column:
     return F.when(F.col(metric).isNotNull(), "available").otherwise("not_present")
 
 
+def compare_rows(base_long: DataFrame, current_long: DataFrame) -> DataFrame:
+    """The rows of ``compare_groups``, straight from both sides' contributing rows, each of which is read and moved once.
+
+    Rows of one location and group meet first, which tells whether one side alone has it; their totals are then summed per group.
+    """
+    keys = [*GROUP, *LOCATION_OUT]
+    base, current = F.col("in_base"), ~F.col("in_base")
+    seen = _either(base_long, current_long, [*keys, "quantity"]).groupBy(*keys).agg(
+        F.count_if(base).alias("base_rows"),
+        F.count_if(current).alias("current_rows"),
+        wide_sum(F.when(base, F.col("quantity"))).alias("base_sum"),
+        wide_sum(F.when(current, F.col("quantity"))).alias("current_sum"),
+    )
+    groups = seen.groupBy(*GROUP).agg(
+        F.sum("base_rows").alias("_base"),
+        F.sum("current_rows").alias("_current"),
+        checked_sum(F.col("base_sum")).alias("base_sample_quantity_sum"),
+        checked_sum(F.col("current_sum")).alias("current_sample_quantity_sum"),
+        F.count_if(F.col("base_rows") == 0).alias("added_row_count"),
+        F.count_if(F.col("current_rows") == 0).alias("removed_row_count"),
+    )
+    counted = groups.withColumns({f"{side}_observed_row_count": F.when(F.col(f"_{side}") > 0, F.col(f"_{side}")) for side in ("base", "current")})
+    return _compared(counted, F.col("added_row_count"), F.col("removed_row_count"))
+
+
 def compare_groups(base_day: DataFrame, current_day: DataFrame, diff: DataFrame) -> DataFrame:
     """Both sides' values per group; a side without the group is ``not_present``, not zero.
 
@@ -66,11 +91,15 @@ def compare_groups(base_day: DataFrame, current_day: DataFrame, diff: DataFrame)
         for name, day in (("base", base_day), ("current", current_day))
     }
     both = sides["base"].join(sides["current"], GROUP, "full_outer")
-    sums = F.col("base_sample_quantity_sum").eqNullSafe(F.col("current_sample_quantity_sum"))
-    counts = F.col("base_observed_row_count").eqNullSafe(F.col("current_observed_row_count"))
     added = F.coalesce("added_row_count", F.lit(0))
     removed = F.coalesce("removed_row_count", F.lit(0))
-    return both.join(location_diff_counts(diff), GROUP, "left").select(
+    return _compared(both.join(location_diff_counts(diff), GROUP, "left"), added, removed)
+
+
+def _compared(both: DataFrame, added: Column, removed: Column) -> DataFrame:
+    sums = F.col("base_sample_quantity_sum").eqNullSafe(F.col("current_sample_quantity_sum"))
+    counts = F.col("base_observed_row_count").eqNullSafe(F.col("current_observed_row_count"))
+    return both.select(
         *GROUP,
         _state("base_observed_row_count").alias("base_state"),
         _state("current_observed_row_count").alias("current_state"),

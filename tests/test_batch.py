@@ -399,3 +399,16 @@ def test_a_document_is_written_from_lines_that_were_kept(spark, monkeypatch):
     with pytest.raises(Exception, match="data_state"):
         catalog.committed_products(spark, "/root/testdata/sf0.001")
     assert read and all("/lines-" in f for f in read)
+
+
+def test_groups_compared_from_rows_are_those_of_days(spark):
+    schema = "run_id string, source_file_id string, observed_date string, stock_code string, sheet_name string, source_row_number long, quantity long"
+    base = [("a", "f", "d1", "A", "s", 1, 5), ("a", "f", "d1", "A", "s", 2, -5), ("a", "f", "d1", "B", "s", 3, 1), ("a", "f", "d2", "C", "s", 4, 7), ("a", "f", "d2", "D", "s", 8, 2)]
+    now = [("b", "f", "d1", "A", "s", 1, 5), ("b", "g", "d1", "A", "s", 2, -5), ("b", "f", "d2", "C", "s", 4, 8), ("b", "f", "d2", "D", "s", 8, 2), ("b", "f", "d3", "E", "s", 9, None)]
+    base, now = (spark.createDataFrame(made, schema).repartition(2) for made in (base, now))
+    want = cmp.compare_groups(pday.days_of(base), pday.days_of(now), cmp.location_diff(base, now))
+    found = cmp.compare_rows(base, now)
+    assert found.schema.names == want.schema.names and found.dtypes == want.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    plan = QUERIES["compare_groups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2

@@ -19,6 +19,8 @@ from tallyline.llm.common import id_and_text, slices, table, written
 from tallyline.llm.tokens import crc32_of, encoder
 
 SEQUENCE_TOKENS = 1024
+# Texts encoded at once, in bytes: what encoding needs for a moment is many times the text.
+ENCODED_BYTES = 1 << 20
 _PIECE = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
      ("part", pa.int64()), ("place", pa.int64())]
@@ -83,7 +85,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int
 def _cut_pieces(tokenizer_path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in slices(batches):
+        for batch in slices(batches, size=ENCODED_BYTES):
             ids, lengths = encoder(tokenizer_path).encode(batch.column("text"))
             rows, at = [], 0
             for doc_id, n in zip(batch.column("doc_id").to_pylist(), lengths.tolist()):

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from reference import TOKENIZER_PATH, crc32, token_ids
@@ -104,3 +105,18 @@ def test_plan_is_near_the_lower_bound_and_small():
     assert not any(left.values())
     bound = -(-sum(k * n for k, n in counts.items()) // 1024)
     assert sum(times for times, _ in kinds) <= bound * 1.005 and len(kinds) < 20_000
+
+
+def test_packing_encodes_little_text_at_once(monkeypatch):
+    seen = []
+
+    class Seen:
+        def encode(self, texts):
+            seen.append(sum(len(t) for t in texts.to_pylist()))
+            return np.zeros(len(texts), np.int32), np.ones(len(texts), np.int64)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Seen())
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array(["x" * 100_000] * 80)], names=["doc_id", "text"])
+    found = list(packing._cut_pieces("", 1024)(iter([batch])))
+    assert sum(b.num_rows for b in found) == 80 and sum(seen) == 8_000_000 and max(seen) <= (1 << 20) + 100_000

@@ -7,6 +7,10 @@ from pyspark.sql.types import StructType
 
 from tallyline.schemas import LOCATION
 
+# Rows of both sides that a task should compare, and landed rows up to which the comparison is left to Spark's choice.
+TASK_ROWS = 1 << 20
+FEW_ROWS = 1 << 16
+
 
 def align_schema(df: DataFrame, schema: StructType) -> DataFrame:
     """Give ``df`` exactly the columns of ``schema``; columns it never had read as null."""
@@ -31,8 +35,18 @@ def _first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def land_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows of ``incoming`` whose location has not landed yet, one per location."""
-    fresh = incoming.join(existing.select(*LOCATION), LOCATION, "left_anti")
+    """Rows of ``incoming`` whose location has not landed yet, one per location.
+
+    Both sides are counted first. More than FEW_ROWS landed rows are no broadcast; both sides are then
+    dealt by location into as many partitions as they need, so a task's memory does not grow with the tables.
+    """
+    landed, dealt = existing.select(*LOCATION), incoming
+    before = landed.count()
+    if before > FEW_ROWS:
+        usual = int(existing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(-(-(before + incoming.count()) // TASK_ROWS), usual)
+        landed, dealt = landed.repartition(parts, *LOCATION), dealt.repartition(parts, *LOCATION)
+    fresh = dealt.join(landed, LOCATION, "left_anti")
     return _first_per_key(fresh.select(*incoming.columns), LOCATION, ["loaded_at"])
 
 

@@ -1,7 +1,9 @@
 import copy
 import json
 
+import duckdb
 import pytest
+from oracle_compare import TABLES, connect, difference
 from pyspark.sql import functions as F
 from samples import CELLS, FILE, SHEET, expected_marker, line, raw, selection, write_workbook
 
@@ -18,6 +20,7 @@ from tallyline.plans import batch_run as br
 from tallyline.plans import catalog
 from tallyline.plans.catalog import QUERIES
 from tallyline.plans.compare_run import compare_published
+from tallyline.plans.oracles import ORACLES
 from tallyline.sources.files import (
     binary_files, fingerprint_files, jsonl_violations, manifest_selection, manifest_violations, read_jsonl, read_manifests,
 )
@@ -255,6 +258,28 @@ def test_landing_is_first_write_wins(spark):
     assert land.land_rows(landed, second).count() == 0
 
 
+def test_landing_deals_large_tables_into_sized_tasks(spark, monkeypatch):
+    monkeypatch.setattr(land, "FEW_ROWS", 20, raising=False)
+    monkeypatch.setattr(land, "TASK_ROWS", 10, raising=False)
+    rows = spark.range(100).selectExpr("'f' AS source_file_id", "'s' AS sheet_name", "id AS source_row_number", "timestamp'2020-01-01' AS loaded_at")
+    got = land.land_rows(rows.filter("source_row_number < 60"), rows.unionByName(rows))
+    assert sorted(r.source_row_number for r in got.collect()) == list(range(60, 100))
+    assert got.rdd.getNumPartitions() == 26
+    few = land.land_rows(rows.filter("source_row_number < 20"), rows.unionByName(rows))
+    assert sorted(r.source_row_number for r in few.collect()) == list(range(20, 100))
+
+
+def test_landing_counts_rows_without_a_month(spark, tmp_path):
+    for table in TABLES:
+        (tmp_path / f"{table}.parquet").symlink_to(f"/root/testdata/sf0.001/{table}.parquet")
+    (tmp_path / "lineitem.parquet").unlink()
+    con, lines = duckdb.connect(), "/root/testdata/sf0.001/lineitem.parquet"
+    without = "SELECT * REPLACE (CASE WHEN l_orderkey % 7 > 0 THEN l_shipdate END AS l_shipdate)"
+    con.execute(f"COPY ({without} FROM '{lines}') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    found = QUERIES["land_idempotent"](spark, str(tmp_path))
+    assert difference(found, connect(str(tmp_path)), ORACLES["land_idempotent"]) is None
+
+
 def test_backfill_fills_but_never_overwrites(spark):
     older = raw(spark, [31, 50]).withColumn(
         "invoice_no_source_kind", F.when(F.col("source_row_number") == 50, F.lit("kept"))
